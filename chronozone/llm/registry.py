@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import lines, simhash
 
 QUERIES = {
+    "op3_line_dedup": lines.query,
     "op6_simhash_groups": simhash.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_line_dedup": lines.ORACLE,
+}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lines, simhash
+from . import decontaminate, lines, simhash
 
 QUERIES = {
     "op3_line_dedup": lines.query,
     "op6_simhash_groups": simhash.query,
+    "op7_decontaminate": decontaminate.query,
 }
 ORACLE_SQL = {
     "op3_line_dedup": lines.ORACLE,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, simhash
+from . import decontaminate, frames, lines, packing, simhash
 
 QUERIES = {
     "op3_line_dedup": lines.query,
+    "op5_token_frames": frames.query,
     "op6_simhash_groups": simhash.query,
     "op7_decontaminate": decontaminate.query,
+    "op10_pack_sequences": packing.query,
 }
 ORACLE_SQL = {
     "op3_line_dedup": lines.ORACLE,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, frames, lines, packing, simhash
+from . import decontaminate, frames, lines, packing, quality, simhash
 
 QUERIES = {
     "op3_line_dedup": lines.query,
+    "op4_quality_outliers": quality.query,
     "op5_token_frames": frames.query,
     "op6_simhash_groups": simhash.query,
     "op7_decontaminate": decontaminate.query,

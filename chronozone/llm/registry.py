@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, frames, lines, packing, quality, simhash
+from . import decontaminate, frames, licenses, lines, packing, pii, quality, simhash
 
 QUERIES = {
+    "op1_license_scan": licenses.query,
+    "op2_pii_spans": pii.query,
     "op3_line_dedup": lines.query,
     "op4_quality_outliers": quality.query,
     "op5_token_frames": frames.query,

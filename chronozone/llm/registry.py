@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, frames, licenses, lines, packing, pii, quality, simhash
+from . import chat, decontaminate, frames, html, licenses, lines, packing, pii, quality, simhash
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -12,8 +12,11 @@ QUERIES = {
     "op5_token_frames": frames.query,
     "op6_simhash_groups": simhash.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_preference_format": chat.query,
+    "op9_main_text": html.query,
     "op10_pack_sequences": packing.query,
 }
 ORACLE_SQL = {
     "op3_line_dedup": lines.ORACLE,
+    "op8_preference_format": chat.ORACLE,
 }

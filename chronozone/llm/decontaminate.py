@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import parts, table, texts
 
 WINDOW, MIN_ITEMS, BLOCK_CHARS, SHARD_WORDS = 8, 2, 16 << 20, 1 << 20
 #: Bytes to bytes: A-Z lower-cased, ASCII other than letters and digits to a space; all else is part of words.
@@ -151,7 +151,7 @@ def _scan(docs: DataFrame, items: Items, window: int) -> DataFrame:
 
     def run(batches):
         items = sent.value
-        for batch in batches:
+        for batch in parts(batches):
             for start, part in _shards(batch):
                 sizes, doc, at, suffix, longest = occurrences(part, items, window)
                 hit, found, spans, best = np.zeros(len(part), np.int64), [[] for _ in part], [b""] * len(part), [(None, None, None)] * len(part)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import shared_dir, stored, table, texts
+from .common import parts, shared_dir, stored, table, texts
 from .tokens import encoder
 
 SEEK_MAGIC, INDEX_MAGIC, FOOT_MAGIC, LEVEL = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 3
@@ -117,7 +117,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
         fs.create_dir(path, recursive=True)
         name = f"tokens-{context.partitionId():06d}-{uuid.uuid4().hex}.zst"
         writer, first, out = None, None, None
-        for batch in batches:
+        for batch in parts(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
                 if writer is None:
                     out = fs.open_output_stream(f"{path}/{name}", compression=None)

@@ -266,7 +266,7 @@ def extract(pages: DataFrame) -> DataFrame:
         made = [main_text(x) for x in texts(batch, "html")]
         return pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url").cast(pa.string()), pa.array(made, pa.string()), pa.array(map(len, made), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return map_arrow(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long", "html")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table, texts
+from .common import parts, shared_dir, stored, table, texts
 from .tokens import encoder
 
 WIDTH, END_ID = 2048, 1
@@ -109,7 +109,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, width: int, folder: s
     def run(batches):
         enc, part, end = encoder(vocabulary), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         ranks, windows = {}, 0
-        for batch in batches:
+        for batch in parts(batches, "text", 4 << 20):
             rows = {k: [] for k in ("ids", "n", "rest", "rank", "windows")}
             for text in texts(batch):
                 ids = enc.encode(text) + end
@@ -124,8 +124,9 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, width: int, folder: s
     return stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, part int, ids binary, doc_tokens long, rest long, rank long, windows long"), f"{folder}/encoded")
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, width: int = WIDTH, folder: str | None = None) -> DataFrame:
-    """Pieces ``doc_id, start, length, ids, doc_tokens, sequence_id, offset`` of all documents; ``ids`` are the piece's ids as bytes.
+def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, width: int = WIDTH, folder: str | None = None, digest: bool = False) -> DataFrame:
+    """Pieces ``doc_id, start, length, ids, doc_tokens, sequence_id, offset`` of all documents; ``ids`` are the piece's ids as bytes
+    (with ``digest`` there is ``ids_crc32`` instead).
 
     Null text is empty and has the end id alone; repeated rows are packed as documents of their own; other columns of ``docs``
     are ignored.  Sequences hold ``width`` ids or a power of two, so nothing is padded.
@@ -145,11 +146,12 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, width: int = WI
     totals = counts.groupBy("rest").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect()  # width rows at most
     full = sum(r.w or 0 for r in totals)
     places = docs.sparkSession.sparkContext.broadcast(Places(plan({r.rest: r.n for r in totals if r.rest}, width), full, width))
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    last, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
+    names = ["doc_id", "start", "length", last, "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
         where = places.value
-        for batch in batches:
+        for batch in parts(batches, "ids", 4 << 20):
             out = {k: [] for k in names}
             for doc_id, raw, n, rest, rank, windows in zip(*[batch.column(k).to_pylist() for k in ("doc_id", "ids", "doc_tokens", "rest", "rank", "windows")]):
                 whole = n // width
@@ -157,29 +159,19 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, width: int = WI
                 if rest:
                     pieces += [(whole * width + s, size, q, o) for s, size, q, o in where.find(rest, rank)]
                 for start, size, sequence, offset in pieces:
-                    for k, v in zip(names, (doc_id, start, size, raw[4 * start : 4 * (start + size)], n, sequence, offset)):
+                    own = raw[4 * start : 4 * (start + size)]
+                    for k, v in zip(names, (doc_id, start, size, zlib.crc32(own) if digest else own, n, sequence, offset)):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[k], pa.binary() if k == "ids" else pa.int64()) for k in names], names)
 
     if starts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
     placed = ids.join(starts, ["part", "rest"]).select("doc_id", "ids", "doc_tokens", "rest", (F.col("rank") + F.col("first_rank")).alias("rank"), (F.col("windows") + F.col("first_window")).alias("windows"))
-    return placed.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-
-
-def digests(pieces: DataFrame) -> DataFrame:
-    """The pieces with ``ids_crc32`` in place of ``ids``."""
-
-    def run(batches):
-        for batch in batches:
-            k = batch.schema.get_field_index("ids")
-            yield batch.set_column(k, "ids_crc32", pa.array([zlib.crc32(x) for x in batch.column(k).to_pylist()], pa.int64()))
-
-    return pieces.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(run, f"doc_id long, start long, length long, {last} {kind}, doc_tokens long, sequence_id long, offset long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: every piece of every document with its place."""
     import public_tokenizers
 
-    return digests(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)

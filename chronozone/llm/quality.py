@@ -26,8 +26,8 @@ CONSISTENCY = 1.54
 #: Squared distance beyond which a row is an outlier, and the least standard deviation of each coordinate.
 CUTOFF, FLOOR = 30.0, {"x1": 0.06, "x2": 0.04, "x3": 0.08, "x4": 0.12, "x5": 0.06}
 AXES = tuple(FLOOR)
-#: Distance buckets of a unit of the logarithm.
-FINE = 64
+#: Distance buckets of a unit of the logarithm, and parts that a group is dealt to where its rows meet its estimates.
+FINE, SALTS = 64, 64
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -74,9 +74,14 @@ def vectors(stats: DataFrame) -> DataFrame:
     return stats.withColumns({k: F.round(F.expr(v.replace("250.0", "250d").replace("50.0", "50d").replace("10.0", "10d")), 6) for k, v in VECTOR_SQL.items()})
 
 
+def _salted(groups: DataFrame) -> DataFrame:
+    """A row of each group and salt, so that the rows of a large group spread over tasks in a join."""
+    return groups.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+
+
 def _with_distance(rows: DataFrame, stats: DataFrame) -> DataFrame:
     """``rows`` with ``d2`` from the group's ``m_i`` and factor ``l_ij`` (both rounded, so a rerun gives the same)."""
-    joined = rows.join(stats, "g")
+    joined = rows.join(_salted(stats), ["g", "salt"])
     for i in range(len(AXES)):
         inner = reduce(lambda a, b: a + b, [F.col(f"l_{i}_{j}") * F.col(f"__y{j}") for j in range(i)], F.lit(0.0))
         joined = joined.withColumn(f"__y{i}", (F.col(AXES[i]) - F.col(f"m_{i}") - inner) / F.col(f"l_{i}_{i}"))
@@ -114,7 +119,7 @@ def _inner(rows: DataFrame) -> DataFrame:
     held = rows.groupBy("g", "bucket").agg(F.count(F.lit(1)).alias("n"))
     sums = held.withColumn("upto", F.expr("sum(n) over (partition by g order by bucket)")).withColumn("all", F.expr("sum(n) over (partition by g)"))
     edge = sums.where(F.col("upto") >= F.ceil(F.col("all") * SHARE)).groupBy("g").agg(F.min("bucket").alias("edge"))
-    return rows.join(edge, "g").where("bucket <= edge").drop("bucket", "edge", "d2")
+    return rows.join(_salted(edge), ["g", "salt"]).where("bucket <= edge").drop("bucket", "edge", "d2")
 
 
 def grouped(rows: DataFrame, least: int = GROUP_ROWS) -> DataFrame:
@@ -129,7 +134,7 @@ def grouped(rows: DataFrame, least: int = GROUP_ROWS) -> DataFrame:
 
 
 def fit(rows: DataFrame, folder: str, steps: int = STEPS) -> DataFrame:
-    """The MCD estimates ``g, m_i, l_ij`` of each group of ``rows`` (``g`` and the coordinates), stored in ``folder``.
+    """The MCD estimates ``g, m_i, l_ij`` of each group of ``rows`` (``g``, ``salt`` and the coordinates), stored in ``folder``.
 
     The start is each group's coordinatewise median with the floor as spread, which outliers hardly move.
     """
@@ -151,7 +156,8 @@ def judged(docs: DataFrame, folder: str | None = None, cutoff: float = CUTOFF) -
     folder = folder or shared_dir(docs.sparkSession)
     plain = docs.select("doc_id", "text", "lang", "source")
     rows = stored(vectors(statistics(plain)).drop("text").withColumn("__row", F.monotonically_increasing_id()), f"{folder}/stats")
-    good = stored(grouped(rows.where("not base_failed").select("__row", "lang", "source", *AXES)).select("__row", "g", *AXES), f"{folder}/vectors")
+    good = grouped(rows.where("not base_failed").select("__row", "lang", "source", *AXES))
+    good = stored(good.select("__row", "g", F.pmod("__row", F.lit(SALTS)).cast("int").alias("salt"), *AXES), f"{folder}/vectors")
     far = _with_distance(good, fit(good, folder)).select("__row", F.col("d2"))
     return rows.join(far, "__row", "left").withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).drop("__row")
 

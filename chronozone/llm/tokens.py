@@ -2,8 +2,8 @@
 
 A byte-level tokenizer never merges over a single space between two other characters, and a tokenizer that drops white space
 never over a space or line feed; so a text's ids are those of its pieces between such spaces, which repeat a lot.  Pieces
-come from a table of at most ``CACHE`` entries that a Python worker keeps between tasks; a piece that is missing is encoded by the
-``tokenizers`` library.  ``tests/llm`` compare the ids with those of whole texts.
+come from a table that a Python worker keeps between tasks, in two generations of at most ``CACHE`` entries (frequent pieces move
+to the young one); a piece that is missing is encoded by the ``tokenizers`` library.  ``tests/llm`` compare the ids with those of whole texts.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-CACHE = 1_000_000
+CACHE = 200_000
 #: Letters whose lower case is one letter.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ"
 _MARKED = re.compile(rf"( ?[{_LETTERS}]+)([.,!%*$&#;:?|]+)\Z")
@@ -40,6 +40,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
@@ -59,6 +60,8 @@ class Encoder(dict):
         return np.array([x.id for x in self.tok.model.tokenize(raw)], "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        if (ids := self.older.get(piece)) is not None:
+            return self._keep(piece, ids)
         if m := _MARKED.match(piece):  # letters end a token, marks start the next
             return self[m[1]] + self[m[2]]
         if self.byte_level and (m := _LINES.match(piece)):  # a line feed between two other characters is a token
@@ -73,10 +76,13 @@ class Encoder(dict):
                 ids = self._model(piece) if _LOWER.match(piece) else self._ids(piece)
         else:
             ids = self._ids(piece)
-        if len(piece) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = ids
+        return self._keep(piece, ids) if len(piece) <= 64 else ids
+
+    def _keep(self, piece: str, ids: bytes) -> bytes:
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:

@@ -37,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
     import public_tokenizers
 
-    return packing.digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
 
 STAGES = [

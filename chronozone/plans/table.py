@@ -132,7 +132,7 @@ class Table:
             # too many to name: read the segments and keep the files of this version
             folders = [r.f for r in boxes.select(F.regexp_replace("path", "/[^/]*$", "").alias("f")).distinct().collect()]
             df = self.spark.read.schema(self.schema.struct).parquet(*folders)
-            return df.join(boxes.select(F.col("path").alias("__path")), F.col("_metadata.file_path") == F.col("__path"), "left_semi")
+            return df.withColumn("__path", F.col("_metadata.file_path")).join(boxes.select(F.col("path").alias("__path")), "__path", "left_semi").drop("__path")
         return self.spark.read.schema(self.schema.struct).parquet(*paths)
 
     def _micros(self, t: Any) -> Any:

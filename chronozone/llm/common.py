@@ -77,3 +77,10 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 def unit(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that begins with ``name`` and that ``df`` doesn't have, nor any that begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name

@@ -224,9 +224,31 @@ def remove(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS, wi
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op7: hit words and items of every document; ``longest`` columns follow."""
+    """op7: hit words and items of every document."""
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= MIN_ITEMS).alias("contaminated"), "longest", "longest_item", "longest_at")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= MIN_ITEMS).alias("contaminated"))
+
+
+#: The same by DuckDB: every window of a document against every window of an item of the same width.
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, width, array_to_string(w[i:i + width - 1], ' ') AS k FROM (SELECT item_id, w, least(8, len(w)) AS width, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT rid, i, width, array_to_string(w[i:i + width - 1], ' ') AS k FROM (SELECT rid, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM d, (SELECT DISTINCT width FROM bw))
+), m AS (
+  SELECT rid, i, width, item_id FROM dw JOIN bw USING (width, k)
+), hit AS (
+  SELECT rid, count(DISTINCT i + o) AS n FROM (SELECT rid, i, unnest(range(width)) AS o FROM m) GROUP BY rid
+), items AS (
+  SELECT rid, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS name FROM m) GROUP BY rid
+)
+SELECT doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(items.n, 0) >= 2 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+"""
 
 
 def brute(text: str | None, items: list[tuple[object, str | None]], window: int = WINDOW) -> tuple[int, int, str]:

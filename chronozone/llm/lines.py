@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shared_dir, stored, table, texts
+from .common import map_arrow, shared_dir, stored, table, texts, unused
 from .cuckoo import CuckooFilter, build
 
 LEAST, MIN_DOCS = 20, 3
@@ -92,10 +92,11 @@ def drops(held: DataFrame, refs: DataFrame) -> DataFrame:
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
-def decided(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """``docs`` with a column ``__lost`` of the keys to drop."""
-    lost = lost.select(F.col("doc_id").alias("__id"), F.col("keys").alias("__lost")).hint("shuffle_hash")
-    return docs.join(lost, docs.doc_id.eqNullSafe(F.col("__id")), "left").drop("__id")
+def decided(docs: DataFrame, lost: DataFrame, name: str = "__lost") -> DataFrame:
+    """``docs`` with a column of the keys to drop."""
+    own = f"{name}_id"
+    lost = lost.select(F.col("doc_id").alias(own), F.col("keys").alias(name)).hint("shuffle_hash")
+    return docs.join(lost, docs.doc_id.eqNullSafe(F.col(own)), "left").drop(own)
 
 
 def cut(text: str, lost: list[bytes] | None, least: int = LEAST) -> tuple[str, int, int]:
@@ -122,16 +123,16 @@ def find_drops(docs: DataFrame, folder: str, least: int = LEAST, min_docs: int =
 def dedup_lines(docs: DataFrame, least: int = LEAST, min_docs: int = MIN_DOCS, folder: str | None = None) -> DataFrame:
     """``docs`` with repeated lines gone from ``text``; ``n_chars``, where there is one, follows the new text."""
     folder = folder or shared_dir(docs.sparkSession)
-    marked = decided(docs, find_drops(docs, folder, least, min_docs))
-    columns = docs.columns
+    columns, name = docs.columns, unused(docs, "__lost")
+    marked = decided(docs, find_drops(docs, folder, least, min_docs), name)
 
     def run(batch):
-        rows = zip(batch.column("text").to_pylist(), batch.column("__lost").to_pylist())
+        rows = zip(batch.column("text").to_pylist(), batch.column(name).to_pylist())
         new = [x if not lost else cut(x, lost, least)[0] for x, lost in rows]
         out = batch.select(columns).set_column(columns.index("text"), "text", pa.array(new, pa.string()))
         if "n_chars" in columns:
             old, k = batch.column("n_chars"), columns.index("n_chars")
-            sizes = [n if not lost else len(x) for n, x, lost in zip(old.to_pylist(), new, batch.column("__lost").to_pylist())]
+            sizes = [n if not lost else len(x) for n, x, lost in zip(old.to_pylist(), new, batch.column(name).to_pylist())]
             out = out.set_column(k, "n_chars", pa.array(sizes, old.type))
         return out
 

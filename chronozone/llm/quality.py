@@ -32,7 +32,7 @@ _SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base counts and those of the vectors.
+    """``docs`` with the base counts and those of the vectors, in place of columns with their names.
 
     Null text is empty.  ``n_repeat_words`` counts words within windows of five words that occur at least twice.
     """
@@ -167,11 +167,58 @@ def keep_good(docs: DataFrame, folder: str | None = None, cutoff: float = CUTOFF
     are judged by the base rules alone."""
     bad = judged(docs, folder, cutoff).where("not kept").select("doc_id").where("doc_id is not null").distinct()
     named = docs.where("doc_id is not null").join(bad, "doc_id", "left_anti").select(docs.columns)
-    unnamed = docs.where("doc_id is null")
-    return named.unionByName(statistics(unnamed).where("not base_failed").select(docs.columns))
+    unnamed = docs.where("doc_id is null").select("text", F.struct(*docs.columns).alias("__whole"))
+    return named.unionByName(statistics(unnamed).where("not base_failed").select("__whole.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: counts, base verdict and verdict of every document."""
     found = judged(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle(steps: int = STEPS) -> str:
+    """The same rules and estimates as DuckDB SQL."""
+    p = len(AXES)
+    lower = [(i, j) for i in range(p) for j in range(i + 1)]
+    columns = ", ".join(AXES)
+    parts = [
+        r"""w AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents)""",
+        "win AS (SELECT rid, i, array_to_string(words[i:i + 4], ' ') AS k FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM w))",
+        "rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM win) WHERE c > 1)",
+        "cov AS (SELECT rid, count(DISTINCT i + d) AS n FROM (SELECT rid, i, unnest(range(5)) AS d FROM rep) GROUP BY rid)",
+        r"""s AS MATERIALIZED (SELECT w.rid, doc_id, lang, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!?=_~^/\\{}@]+', '', 'g')) AS n_marks FROM w LEFT JOIN cov ON w.rid = cov.rid)""",
+        f"b AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed, " + ", ".join(f"round({v.replace('250.0', '250::DOUBLE').replace('50.0', '50::DOUBLE').replace('10.0', '10::DOUBLE')}, 6) AS {k}" for k, v in VECTOR_SQL.items()) + " FROM s)",
+        "sizes AS (SELECT lang, source, count(*) AS n FROM b WHERE NOT base_failed GROUP BY lang, source)",
+        f"rest AS (SELECT lang, sum(n) AS rest FROM sizes WHERE n < {GROUP_ROWS} GROUP BY lang)",
+        f"names AS (SELECT sizes.lang, source, CASE WHEN n >= {GROUP_ROWS} THEN coalesce(sizes.lang, '?') || '/' || coalesce(source, '?') WHEN rest >= {GROUP_ROWS} THEN coalesce(sizes.lang, '?') || '/*' ELSE '*' END AS g FROM sizes LEFT JOIN rest ON sizes.lang IS NOT DISTINCT FROM rest.lang)",
+        f"v AS MATERIALIZED (SELECT rid, g, {columns} FROM b JOIN names ON b.lang IS NOT DISTINCT FROM names.lang AND b.source IS NOT DISTINCT FROM names.source WHERE NOT base_failed)",
+        "mcd0 AS MATERIALIZED (SELECT g, " + ", ".join(f"round(quantile_disc({a}, 0.5), 6) AS m_{i}" for i, a in enumerate(AXES)) + ", " + ", ".join(f"{FLOOR[AXES[i]] * 2 if i == j else 0.0}::DOUBLE AS l_{i}_{j}" for i, j in lower) + " FROM v GROUP BY g)",
+    ]
+
+    def distance(k: int) -> str:
+        inner, ys = f"SELECT v.*, m.* EXCLUDE (g) FROM v JOIN mcd{k} m USING (g)", []
+        for i, a in enumerate(AXES):
+            back = "".join(f" - l_{i}_{j} * y{j}" for j in range(i))
+            ys.append(f"y{i}")
+            inner = f"SELECT *, ({a} - m_{i}{back}) / l_{i}_{i} AS y{i} FROM ({inner})"
+        return f"d{k} AS MATERIALIZED (SELECT rid, g, {columns}, round({' + '.join(f'{y} * {y}' for y in ys)}, 6) AS d2 FROM ({inner}))"
+
+    for k in range(steps):
+        parts.append(distance(k))
+        parts.append(f"h{k} AS (SELECT g, bucket, sum(count(*)) OVER (PARTITION BY g ORDER BY bucket) AS upto, sum(count(*)) OVER (PARTITION BY g) AS every FROM (SELECT g, floor(ln(d2 + 1e-6) * {FINE}) AS bucket FROM d{k}) GROUP BY g, bucket)")
+        parts.append(f"e{k} AS (SELECT g, min(bucket) AS edge FROM h{k} WHERE upto >= ceil(every * {SHARE}) GROUP BY g)")
+        sums = ", ".join([f"sum({a}) AS s_{i}" for i, a in enumerate(AXES)] + [f"sum({AXES[j]} * {AXES[i]}) AS s_{j}_{i}" for i, j in lower])
+        step = f"SELECT g, count(*) AS n, {sums} FROM d{k} JOIN e{k} USING (g) WHERE floor(ln(d2 + 1e-6) * {FINE}) <= edge GROUP BY g"
+        step = f"SELECT *, {', '.join(f'round(s_{i} / n, 9) AS m_{i}' for i in range(p))} FROM ({step})"
+        for i, j in lower:
+            cov = f"(s_{j}_{i} / n - m_{i} * m_{j}) * {CONSISTENCY}"
+            floor = FLOOR[AXES[i]] ** 2
+            if i == j:
+                cov = f"greatest({cov}, 0) + {floor!r}"
+            left = cov + "".join(f" - l_{i}_{q} * l_{j}_{q}" for q in range(j))
+            step = f"SELECT *, round({f'sqrt(greatest({left}, {floor / 4!r}))' if i == j else f'({left}) / l_{j}_{j}'}, 9) AS l_{i}_{j} FROM ({step})"
+        parts.append(f"mcd{k + 1} AS MATERIALIZED (SELECT g, {', '.join(f'm_{i}' for i in range(p))}, {', '.join(f'l_{i}_{j}' for i, j in lower)} FROM ({step}))")
+    parts.append(distance(steps))
+    last = f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2, 0) <= {CUTOFF} AS kept FROM b LEFT JOIN d{steps} USING (rid)"
+    return "WITH " + ",\n".join(parts) + "\n" + last

@@ -18,5 +18,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op3_line_dedup": lines.ORACLE,
+    "op4_quality_outliers": quality.oracle(),
+    "op7_decontaminate": decontaminate.ORACLE,
     "op8_preference_format": chat.ORACLE,
 }

@@ -52,6 +52,26 @@ def _mask(spans: list[tuple[int, int]]) -> str:
 
 
 SCHEMA = "pair_id long, n_common long, n_chosen long, n_rejected long, prompt string, chosen string, chosen_mask string, rejected string, rejected_mask string"
+_COLUMNS = [x.split(" ")[0] for x in SCHEMA.split(", ")]
+Turns = list[tuple[str | None, str | None]]
+
+
+def pair_row(pair_id: int, chosen: Turns, rejected: Turns) -> tuple:
+    """A pair in the columns of ``SCHEMA``."""
+    k = common(chosen, rejected)
+    (good, good_mask), (bad, bad_mask) = render(chosen[k:]), render(rejected[k:])
+    return pair_id, k, len(chosen), len(rejected), render(chosen[:k])[0], good, _mask(good_mask), bad, _mask(bad_mask)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(_COLUMNS)
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k == "pair_id" or k.startswith("n_") else pa.string()) for k, v in zip(_COLUMNS, columns)], _COLUMNS)
+
+
+def _gathered(turns: DataFrame, key: str, side: str) -> DataFrame:
+    """The turns of each key in order: by side, then turn, role and text, nulls first."""
+    rows = turns.where(F.col(key).isNotNull()).select(key, side, "turn", "role", "text")
+    return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(side, "turn", "role", "text"))).alias("turns"))
 
 
 def format_sides(turns: DataFrame) -> DataFrame:
@@ -60,21 +80,42 @@ def format_sides(turns: DataFrame) -> DataFrame:
     Turns are ordered by ``turn``, then role and text, nulls first, so repeated turn numbers have a place.  A pair of which one side is
     missing has an empty prompt and an empty completion on that side; identical conversations leave two empty completions.
     """
-    rows = turns.where("pair_id is not null").select("pair_id", "side", "turn", "role", "text")
-    both = rows.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("side", "turn", "role", "text"))).alias("turns"))
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("n_common", "n_chosen", "n_rejected", "prompt", "chosen", "chosen_mask", "rejected", "rejected_mask")}
+            rows = []
+            for pair_id, found in zip(batch.column("pair_id").to_pylist(), batch.column("turns").to_pylist()):
+                rows.append(pair_row(pair_id, *([(t["role"], t["text"]) for t in found if t["side"] == s] for s in (0, 1))))
+            yield _batch(rows)
+
+    return _gathered(turns, "pair_id", "side").mapInArrow(run, SCHEMA)
+
+
+def swapped(own: Turns, other: Turns) -> Turns:
+    """A conversation with the last answer of another in place of its own last answer (empty if the other has none)."""
+    last = next((k for k in range(len(own) - 1, -1, -1) if own[k][0] == TRAINED), None)
+    answer = next((text for role, text in reversed(other) if role == TRAINED), None) or ""
+    return own if last is None else [*own[:last], (TRAINED, answer), *own[last + 1 :]]
+
+
+def format_swapped(turns: DataFrame) -> DataFrame:
+    """Every conversation against itself with a wrong last answer, that of its neighbour (ids 2k and 2k + 1 are neighbours).
+
+    For tables that name no preferences.  ``pair_id`` is the conversation's id.  A conversation without an answer has only a prompt.
+    """
+    both = turns.where("conv_id is not null").select(F.shiftright("conv_id", 1).alias("k"), "conv_id", "turn", "role", "text")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
             for found in batch.column("turns").to_pylist():
-                chosen, rejected = ([(t["role"], t["text"]) for t in found if t["side"] == s] for s in (0, 1))
-                k = common(chosen, rejected)
-                (good, good_mask), (bad, bad_mask) = render(chosen[k:]), render(rejected[k:])
-                for name, x in zip(out, (k, len(chosen), len(rejected), render(chosen[:k])[0], good, _mask(good_mask), bad, _mask(bad_mask))):
-                    out[name].append(x)
-            yield pa.RecordBatch.from_arrays([batch.column("pair_id").cast(pa.int64()), *[pa.array(v, pa.int64() if k.startswith("n_") else pa.string()) for k, v in out.items()]], ["pair_id", *out])
+                own: dict[int, Turns] = {}
+                for t in found:
+                    own.setdefault(t["conv_id"], []).append((t["role"], t["text"]))
+                rows += [pair_row(i, x, swapped(x, own.get(i ^ 1, []))) for i, x in own.items()]
+            yield _batch(rows)
 
-    return both.mapInArrow(run, SCHEMA)
+    return _gathered(both, "k", "conv_id").mapInArrow(run, SCHEMA)
 
 
 def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -87,14 +128,21 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op8: all conversations in pairs; of ids 2k and 2k + 1 the first is chosen, as the table names no preferences."""
-    turns = table(spark, sf_dir, "conversations").withColumns({"pair_id": F.shiftright("conv_id", 1), "side": F.col("conv_id").bitwiseAND(1).cast("int")})
-    return format_sides(turns)
+    """op8: every conversation, chosen, against itself with its neighbour's last answer, rejected."""
+    return format_swapped(table(spark, sf_dir, "conversations"))
 
 
 ORACLE = r"""
-WITH t AS (
-  SELECT conv_id >> 1 AS pair_id, conv_id % 2 AS side, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, role, text FROM conversations
+WITH o AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, role, text FROM conversations
+), last AS (
+  SELECT conv_id, max(i) AS i FROM o WHERE role = 'assistant' GROUP BY conv_id
+), answer AS (
+  SELECT o.conv_id, o.i, coalesce(o.text, '') AS text FROM o JOIN last ON o.conv_id = last.conv_id AND o.i = last.i
+), t AS (
+  SELECT conv_id AS pair_id, 0 AS side, i, role, text FROM o
+  UNION ALL
+  SELECT o.conv_id, 1, o.i, role, CASE WHEN a.conv_id IS NULL THEN o.text ELSE coalesce(b.text, '') END FROM o LEFT JOIN answer a ON o.conv_id = a.conv_id AND o.i = a.i LEFT JOIN answer b ON xor(o.conv_id, 1) = b.conv_id
 ), c AS (
   SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(min(coalesce(a.i, b.i)) FILTER (WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text OR a.i IS NULL OR b.i IS NULL), count(*)) AS n_common
   FROM (SELECT * FROM t WHERE side = 0) a FULL JOIN (SELECT * FROM t WHERE side = 1) b ON a.pair_id = b.pair_id AND a.i = b.i GROUP BY 1

@@ -34,7 +34,13 @@ def test_op8_against_brute_force(spark, sf):
     convs = {}
     for r in spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect():
         convs.setdefault(r.conv_id, []).append((r.role, r.text))
-    for r in chat.query(spark, sf).collect():
-        a, b = convs.get(2 * r.pair_id, []), convs.get(2 * r.pair_id + 1, [])
+    rows = chat.query(spark, sf).collect()
+    assert sorted(r.pair_id for r in rows) == sorted(convs)
+    for r in rows:
+        a, other = convs[r.pair_id], convs.get(r.pair_id ^ 1, [])
+        last = max((k for k, t in enumerate(a) if t[0] == "assistant"), default=None)
+        b = [*a]
+        if last is not None:
+            b[last] = ("assistant", next((t for role, t in reversed(other) if role == "assistant"), ""))
         assert r.prompt + r.chosen == chat.render(a)[0] and r.prompt + r.rejected == chat.render(b)[0]
-        assert a[: r.n_common] == b[: r.n_common] and a[r.n_common : r.n_common + 1] != b[r.n_common : r.n_common + 1]
+        assert r.n_common == (len(a) if last is None or a == b else last)

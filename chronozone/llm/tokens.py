@@ -1,6 +1,10 @@
 """Encoding with public tokenizers, word by word through a bounded cache.
 
-A byte-level tokenizer never merges over a single space between two other characters, and a tokenizer that drops white space
+Texts of a common alphabet (``_COMMON``: Latin letters that lower-case to one letter, digits, ASCII marks and white space) are
+split as the tokenizer's own pattern splits them, since on that alphabet its classes are plain character ranges; each piece is
+then one run of the model.  Other texts are cut at spaces:
+
+a byte-level tokenizer never merges over a single space between two other characters, and a tokenizer that drops white space
 never over a space or line feed; so a text's ids are those of its pieces between such spaces, which repeat a lot.  Pieces
 come from a table that a Python worker keeps between tasks, in two generations of at most ``CACHE`` entries (frequent pieces move
 to the young one); a piece that is missing is encoded by the ``tokenizers`` library.  ``tests/llm`` compare the ids with those of whole texts.
@@ -11,12 +15,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
-import numpy as np
-
-CACHE = 200_000
+CACHE = 300_000
 #: Letters whose lower case is one letter.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ"
+_COMMON = re.compile(rf"[{_LETTERS}\t\n\x0b\x0c\r -~]*\Z")
+_BYTE_PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^{_LETTERS}0-9\t\n\x0b\x0c\r ]+|\s+(?!\S)|\s+")
+_WORD_PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\t\n\x0b\x0c\r ]+")
 _MARKED = re.compile(rf"( ?[{_LETTERS}]+)([.,!%*$&#;:?|]+)\Z")
 _PLAIN = re.compile(rf" ?[{_LETTERS}]+\Z")
 _LINES = re.compile(r"( ?\S+)\n(?=\S)")
@@ -32,17 +38,45 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-class Encoder(dict):
-    """Maps a piece to its ids as little-endian 32-bit integers."""
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Young(dict):
+    """A table that makes what is missing, in two generations of at most ``CACHE`` entries."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+            if len(piece) > 64:
+                return ids
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+    def make(self, piece: str) -> bytes:
+        raise NotImplementedError
+
+
+class Encoder(Young):
+    """Maps a piece between spaces to its ids as little-endian 32-bit integers."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.older: dict[str, bytes] = {}
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenize = self.tok.model.tokenize
+        self.common = Common(self)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kind = spec.get("pre_tokenizer") or {}
@@ -52,42 +86,34 @@ class Encoder(dict):
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(_byte_letters())})
 
     def _ids(self, piece: str) -> bytes:
-        return np.array(self.tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tok.encode(piece, add_special_tokens=False).ids)
 
     def _model(self, piece: str) -> bytes:
         """Ids of one run of letters, past the splitting that would give it back whole."""
-        raw = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        return np.array([x.id for x in self.tok.model.tokenize(raw)], "<u4").tobytes()
+        if not piece.isalpha() or not piece.isascii():
+            piece = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return _packed([x.id for x in self.tokenize(piece)])
 
-    def __missing__(self, piece: str) -> bytes:
-        if (ids := self.older.get(piece)) is not None:
-            return self._keep(piece, ids)
+    def make(self, piece: str) -> bytes:
         if m := _MARKED.match(piece):  # letters end a token, marks start the next
             return self[m[1]] + self[m[2]]
         if self.byte_level and (m := _LINES.match(piece)):  # a line feed between two other characters is a token
             return self[m[1]] + self["\n"] + self[piece[m.end() :]]
         if self.byte_level and _PLAIN.match(piece):
-            ids = self._model(piece)
-        elif self.spaceless:
+            return self._model(piece)
+        if self.spaceless:
             low = piece.lower() if _PLAIN.match(piece) else piece
             if low != piece:
-                ids = self[low]
-            else:
-                ids = self._model(piece) if _LOWER.match(piece) else self._ids(piece)
-        else:
-            ids = self._ids(piece)
-        return self._keep(piece, ids) if len(piece) <= 64 else ids
-
-    def _keep(self, piece: str, ids: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
+                return self[low]
+            return self._model(piece) if _LOWER.match(piece) else self._ids(piece)
+        return self._ids(piece)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text, without special tokens."""
         text = text or ""
+        if (self.byte_level or self.spaceless) and _COMMON.match(text):
+            pieces = _BYTE_PIECES.findall(text) if self.byte_level else _WORD_PIECES.findall(text.lower())
+            return b"".join(map(self.common.__getitem__, pieces))
         if self.spaceless:
             return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
         if not self.byte_level:
@@ -108,6 +134,17 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, out))
 
 
+class Common(Young):
+    """Maps a piece of a text of the common alphabet to its ids."""
+
+    def __init__(self, owner: Encoder):
+        super().__init__()
+        self.owner = owner
+
+    def make(self, piece: str) -> bytes:
+        return self.owner._model(piece)
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a vocabulary file."""
     if path not in _made:

@@ -1,6 +1,7 @@
 import io
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -16,10 +17,16 @@ from chronozone.llm import frames, packing, tokens
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
-def whole(name, text):
+@lru_cache
+def library(name):
     made = Tokenizer.from_file(public_tokenizers.path(name))
     made.encode_special_tokens = True
-    return made.encode(text or "", add_special_tokens=False).ids
+    return made
+
+
+@lru_cache(maxsize=4096)
+def whole(name, text):
+    return library(name).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", NAMES)

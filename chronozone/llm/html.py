@@ -4,7 +4,8 @@ A page is read once as a flat list of blocks, without building a tree of element
 and ``br`` (white space) don't.  Scripts, styles, templates, comments and the head give no text.  Each block has its words, the share
 of its words within links, the same of the block before and after it, whether it lies in the main element or has a mark of
 boilerplate (in ``nav``, ``footer``, ``aside``, ``form``, a page's ``header``, or an element whose class, id or role says advert,
-menu, notice, comments and the like), and whether it is a heading.  A decision tree (CART, Gini) trained on the labelled blocks of
+menu, notice, comments and the like), whether it is a heading, and whether a paragraph, quotation or heading holds it.  In a page without
+``article`` or ``main`` an element whose class or id says content or article body is the main element.  A decision tree (CART, Gini) trained on the labelled blocks of
 ``html_table`` decides.  Malformed pages are read as far as they go: unclosed tags end with their parent, stray ends are ignored.
 """
 
@@ -38,9 +39,15 @@ _CUE = re.compile(
     r"|sidebars?|side-?bar|aside|widgets?|related|recommend(?:ed|ations?)?|more-?(?:stories|articles|posts)|read-?next|trending|popular|teasers?|cookies?|consent|gdpr|notices?|alerts?|disclaimer|paywall|subscribe|subscription|newsletters?|signup|sign-?up|login|log-?in|modal|popup|pop-?up|overlay|toast"
     r"|comments?|commentlist|comment-?(?:list|section|form)|disqus|respond|replies|reply|discussion|reader-?comments?|shar(?:e|ing)|social|follow-?us|tags?|tag-?list|byline-?links|copyright|legal|imprint|pullquote|skip-?link|screen-?reader(?:-text)?)(?:$|[^a-z])"
 )
+_CONTENT = re.compile(r"(?:^|[^a-z])(?:(?:article|post|entry|story|main|page|blog|news|text|item)-?(?:body|content|text|main)|content|contents|main|article|articlebody|post|entry|story|hentry|prose|markdown-body)(?:$|[^a-z])")
+_PARAGRAPH = frozenset(("p", "pre", "blockquote", *_HEADING))
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
+def _names(rest: str) -> list[str]:
+    return [_CAMEL.sub("-", a or b or c).replace("_", "-").lower() for a, b, c in _NAMED.findall(rest)]
+
+
 def _marked(tag: str, rest: str, inside_main: bool) -> bool:
     """Whether an element is boilerplate by its tag, its names, or being hidden."""
     if tag in _BOILER_TAGS or tag == "header" and not inside_main:
@@ -49,32 +56,32 @@ def _marked(tag: str, rest: str, inside_main: bool) -> bool:
         return False
     if _HIDDEN.search(rest):
         return True
-    return any(_CUE.search(_CAMEL.sub("-", a or b or c).replace("_", "-").lower()) for a, b, c in _NAMED.findall(rest))
+    return any(map(_CUE.search, _names(rest)))
 
 
 class Block:
-    __slots__ = ("boiler", "heading", "linked", "main", "text", "words")
+    __slots__ = ("boiler", "content", "heading", "linked", "main", "paragraph", "text", "words")
 
-    def __init__(self, parts: list[str], linked: int, main: bool, boiler: bool, heading: bool):
+    def __init__(self, parts: list[str], linked: int, main: bool, content: bool, boiler: bool, heading: bool, paragraph: bool):
         self.text = " ".join("".join(parts).split())
         self.words, self.linked = self.text.count(" ") + 1 if self.text else 0, linked
-        self.main, self.boiler, self.heading = main, boiler, heading
+        self.main, self.content, self.boiler, self.heading, self.paragraph = main, content, boiler, heading, paragraph
 
 
 def blocks(page: str | None) -> list[Block]:
     """The blocks with text of a page, in page order."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, main, boilerplate: of the open elements that matter
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, main, content, boilerplate: of the open elements that matter
     parts: list[str] = []
-    linked, link, main, boiler, heading, head = 0, 0, 0, 0, 0, False
+    linked, link, main, content, boiler, heading, paragraph, head = 0, 0, 0, 0, 0, 0, 0, False
     open_: Counter[str] = Counter()
     unended: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            made = Block(parts, linked, main > 0, boiler > 0, heading > 0)
+            made = Block(parts, linked, main > 0, content > 0, boiler > 0, heading > 0, paragraph > 0)
             if made.text:
                 out.append(made)
             parts.clear()
@@ -90,13 +97,14 @@ def blocks(page: str | None) -> list[Block]:
             linked += len(text.split())
 
     def pop(k: int) -> None:
-        nonlocal link, main, boiler, heading
+        nonlocal link, main, content, boiler, heading, paragraph
         while len(stack) > k:
-            tag, is_main, is_boiler = stack.pop()
+            tag, is_main, is_content, is_boiler = stack.pop()
             open_[tag] -= 1
-            main, boiler = main - is_main, boiler - is_boiler
+            main, content, boiler = main - is_main, content - is_content, boiler - is_boiler
             link -= tag == "a"
             heading -= tag in _HEADING
+            paragraph -= tag in _PARAGRAPH
 
     at, size = 0, len(page)
     last = page.rfind(">") + 1  # beyond it there are no tags
@@ -171,23 +179,28 @@ def blocks(page: str | None) -> list[Block]:
         if tag in _BLOCK or tag == "a" or rest:
             is_main = tag in _MAIN
             is_boiler = _marked(tag, rest, main > 0)
-            stack.append((tag, is_main, is_boiler))
+            is_content = not is_boiler and tag in ("div", "section", "td") and any(map(_CONTENT.search, _names(rest)))
+            stack.append((tag, is_main, is_content, is_boiler))
             open_[tag] += 1
-            main, boiler = main + is_main, boiler + is_boiler
+            main, content, boiler = main + is_main, content + is_content, boiler + is_boiler
             link += tag == "a"
             heading += tag in _HEADING
+            paragraph += tag in _PARAGRAPH
     flush()
     return out
 
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "main", "page_has_main", "boiler", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "main", "page_has_main", "boiler", "heading", "paragraph")
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
-    has = float(any(b.main and not b.boiler for b in found))
+    inside = [b.main for b in found]
+    if not any(b.main and not b.boiler for b in found):
+        inside = [b.content for b in found]
+    has = float(any(i and not b.boiler for i, b in zip(inside, found)))
     own = [(float(b.words), min(1.0, b.linked / b.words)) for b in found]
     ends = [(0.0, 0.0), *own, (0.0, 0.0)]
-    return [(*ends[k + 1], *ends[k], *ends[k + 2], float(b.main), has, float(b.boiler), float(b.heading)) for k, b in enumerate(found)]
+    return [(*ends[k + 1], *ends[k], *ends[k + 2], float(inside[k]), has, float(b.boiler), float(b.heading), float(b.paragraph)) for k, b in enumerate(found)]
 
 
 def _gini(y: np.ndarray) -> float:
@@ -229,10 +242,11 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
 
 def varied(x: np.ndarray, y: np.ndarray, copies: int = 40, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
     """The rows with copies of other sizes where the frame alone decides: marks of boilerplate, blocks beside the main element,
-    and blocks within it that aren't links."""
+    blocks within it that aren't links, and paragraphs of pages without a frame."""
     rng = np.random.default_rng(seed)
     main, has, boiler = x[:, 6] > 0, x[:, 7] > 0, x[:, 8] > 0
     framed = (boiler & (y == 0)) | (has & ~main & (y == 0)) | (main & ~boiler & (x[:, 1] < 0.5) & (y == 1))
+    framed |= ~has & ~boiler & (x[:, 10] > 0) & (x[:, 1] < 0.5) & (y == 1)
     more = np.repeat(x[framed], copies, axis=0)
     for words, links in ((0, 1), (2, 3), (4, 5)):
         more[:, words] = np.round(np.exp(rng.uniform(0, 6, len(more))))

@@ -23,4 +23,6 @@ PAGES = [
     """<p>+The whole page is this one paragraph, which nobody has put into any frame, and which tells how the ferry was lost.</p>""",
     """<html><body><h1>+Letters home</h1><p>+We arrived on the third day after a rough crossing, and all of us are well and in good spirits again.</p><p>+More soon.</p><p>+The people here are kind, the bread is good, and the work on the dam begins next week if the rain stops.</p><p>+Yours, as ever.</p></body></html>""",
     """<div><a href=/>-Top</a></div><h2>+A list of tools</h2><ul><li>+A saw with fine teeth and a long wooden handle for cutting boards</li><li>+Two planes, of which one should be short and one as long as your arm</li></ul><div><a href=/z>-Back to all lists</a></div><div>-Powered by a small machine</div>""",
+    """<html><body><div id="top-menu"><a href=/>-Start</a></div><div id="content"><h2>+The ferry</h2><p>+It sank.</p><p>+Nobody was on board but the captain, who swam ashore and walked home along the river before anybody missed the boat.</p>+Loose text at the end of the page<div class="side-bar"><p>-The captain also wrote three books about other boats he had lost in his long life at sea.</p></div></div><div id="comments-area"><p>-A sad story, told very well, and I should like to read more of them soon.</p></div><p>-Printed on Sunday</p></body></html>""",
+    """<html><body><h1>+Notes</h1><p>+Cold.</p><p>+Rain again.</p><p>+The roof leaks.</p><p>+We moved the beds into the other room, where the floor is dry and the stove still draws.</p><p>+Better.</p><div>-Print</div><div><a href=/q>-Older notes</a></div></body></html>""",
 ]

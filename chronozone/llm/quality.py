@@ -166,7 +166,7 @@ def keep_good(docs: DataFrame, folder: str | None = None, cutoff: float = CUTOFF
     """``docs`` without what the rules reject; with repeated ids any rejection rejects the id.  Documents without an id
     are judged by the base rules alone."""
     bad = judged(docs, folder, cutoff).where("not kept").select("doc_id").where("doc_id is not null").distinct()
-    named = docs.where("doc_id is not null").join(bad, "doc_id", "left_anti").select(docs.columns)
+    named = docs.where("doc_id is not null").join(bad.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
     unnamed = docs.where("doc_id is null").select("text", F.struct(*docs.columns).alias("__whole"))
     return named.unionByName(statistics(unnamed).where("not base_failed").select("__whole.*"))
 

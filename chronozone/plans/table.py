@@ -61,7 +61,8 @@ class Table:
     def _write(self, df: DataFrame, segment: str, tag: str = "") -> DataFrame:
         """Write key-sorted files and return their boxes, read from the two role columns alone."""
         key, ts = self.schema.index_field, self.schema.temporal_field
-        ordered = df.repartitionByRange(self.config.partitions, key) if self.config.partitions else df.repartitionByRange(key)
+        # by time within a key, so a key with a large share of the rows is spread over files as well
+        ordered = df.repartitionByRange(self.config.partitions, key, ts) if self.config.partitions else df.repartitionByRange(key, ts)
         out = ordered.sortWithinPartitions(key, ts).write.mode("overwrite").option("maxRecordsPerFile", self.config.chunk_rows).option("compression", self.config.codec)
         for c in self.bloom_columns:
             out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", str(self.config.bloom_entries)).option(f"parquet.bloom.filter.fpp#{c}", str(self.config.bloom_fpp))

@@ -24,7 +24,7 @@ SHARE, STEPS, GROUP_ROWS = 0.75, 5, 50
 #: Consistency factor of the covariance of the inner three quarters of a five-dimensional normal distribution.
 CONSISTENCY = 1.54
 #: Squared distance beyond which a row is an outlier, and the least standard deviation of each coordinate.
-CUTOFF, FLOOR = 30.0, {"x1": 0.06, "x2": 0.04, "x3": 0.08, "x4": 0.12, "x5": 0.06}
+CUTOFF, FLOOR = 25.0, {"x1": 0.06, "x2": 0.035, "x3": 0.12, "x4": 0.15, "x5": 0.06}
 AXES = tuple(FLOOR)
 #: Distance buckets of a unit of the logarithm, and parts that a group is dealt to where its rows meet its estimates.
 FINE, SALTS = 64, 64

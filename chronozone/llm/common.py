@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -21,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=8)
+def _own_folder(application: str) -> str:
+    """A temporary folder of a session in local mode."""
+    return Path(tempfile.mkdtemp(prefix=f"chronozone-{application}-")).as_uri()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -30,8 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = Path(tempfile.mkdtemp(prefix="chronozone-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_folder(spark.sparkContext.applicationId)
+    if ":" not in base.split("/")[0]:  # without a scheme it is a folder of the default file system
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().replace("file:/", "file:///", 1)
     return f"{base.rstrip('/')}/cz-{uuid.uuid4().hex}"
 
 

@@ -102,7 +102,8 @@ class FrameReader:
 
 
 def _open(uri: str):
-    return pa.fs.FileSystem.from_uri(uri)
+    """The file system of a folder and the folder's path in it; Hadoop's ``s3a`` is ``s3`` there."""
+    return pa.fs.FileSystem.from_uri(f"s3://{uri[6:]}" if uri.startswith("s3a://") else uri)
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, level: int = LEVEL) -> DataFrame:

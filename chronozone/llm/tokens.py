@@ -25,7 +25,7 @@ _BYTE_PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^{
 _WORD_PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\t\n\x0b\x0c\r ]+")
 _MARKED = re.compile(rf"( ?[{_LETTERS}]+)([.,!%*$&#;:?|]+)\Z")
 _PLAIN = re.compile(rf" ?[{_LETTERS}]+\Z")
-_LINES = re.compile(r"( ?\S+)\n(?=\S)")
+_FEEDS = re.compile(r"(?<=\S)\n(?=\S)")
 _BESIDE = re.compile(r"\s | \s|\A | \Z|\x00")
 _LOWER = re.compile(r"[a-zß-öø-ÿ]+\Z")
 _made: dict[str, Encoder] = {}
@@ -97,8 +97,8 @@ class Encoder(Young):
     def make(self, piece: str) -> bytes:
         if m := _MARKED.match(piece):  # letters end a token, marks start the next
             return self[m[1]] + self[m[2]]
-        if self.byte_level and (m := _LINES.match(piece)):  # a line feed between two other characters is a token
-            return self[m[1]] + self["\n"] + self[piece[m.end() :]]
+        if self.byte_level and len(lines := _FEEDS.split(piece)) > 1:  # a line feed between two other characters is a token
+            return self["\n"].join(map(self.__getitem__, lines))
         if self.byte_level and _PLAIN.match(piece):
             return self._model(piece)
         if self.spaceless:

@@ -44,6 +44,13 @@ def test_pieces_give_the_ids_of_whole_texts(name, monkeypatch):
     same()
 
 
+@pytest.mark.parametrize("line", ["日本", "don’t", "д", "’"])
+def test_many_lines_without_spaces(line):
+    enc = tokens.Encoder(public_tokenizers.path(NAMES[0]))
+    for text in ("\n".join([line] * 20_000), "\n".join(f"{line}{k}" for k in range(20_000)) + "\n\nx y\n" + line):
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == whole(NAMES[0], text)
+
+
 def test_frames_round_trip_and_random_access():
     out, docs = io.BytesIO(), {5: b"", 7: np.arange(9, dtype="<u4").tobytes(), None: b"\x01\x00\x00\x00" * 5000, 9: b"\x02\x00\x00\x00"}
     writer = frames.FrameWriter(out)

@@ -68,13 +68,14 @@ class Young(dict):
 class Encoder(Young):
     """Maps a piece between spaces to its ids as little-endian 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
+        """With ``added``, strings of added tokens in a text are those tokens, as the library does by default; else ordinary text."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = True  # pieces have no added tokens, and lower-casing makes none
         self.tokenize = self.tok.model.tokenize
         self.common = Common(self)
         with open(path, encoding="utf-8") as f:
@@ -83,6 +84,15 @@ class Encoder(Young):
         steps = str(spec.get("normalizer")), str(kind)
         self.byte_level = spec.get("normalizer") is None and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
         self.spaceless = "Lowercase" in steps[0] and "[^\\\\s" in steps[1] and "Removed" in steps[1]
+        tokens = spec.get("added_tokens") or []
+        self.added = {x["content"]: _packed([x["id"]]) for x in tokens} if added else {}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        if not all(x["special"] for x in tokens) or added and any(x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in tokens):
+            # their matches hang on what is beside them: whole texts for the library
+            self.byte_level = self.spaceless = False
+            self.cut, self.tok.encode_special_tokens = None, not added
+        elif added and not (self.byte_level or self.spaceless):
+            self.cut, self.tok.encode_special_tokens = None, False
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(_byte_letters())})
 
     def _ids(self, piece: str) -> bytes:
@@ -109,8 +119,14 @@ class Encoder(Young):
         return self._ids(piece)
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text, without special tokens."""
+        """The ids of a whole text; no special tokens are added to it."""
         text = text or ""
+        if self.cut and len(parts := self.cut.split(text)) > 1:  # odd parts are added tokens
+            return b"".join(self.added[x] if k % 2 else self._between(x) for k, x in enumerate(parts))
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if (self.byte_level or self.spaceless) and _COMMON.match(text):
             pieces = _BYTE_PIECES.findall(text) if self.byte_level else _WORD_PIECES.findall(text.lower())
             return b"".join(map(self.common.__getitem__, pieces))
@@ -148,5 +164,5 @@ class Common(Young):
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a vocabulary file."""
     if path not in _made:
-        _made[path] = Encoder(path)
+        _made[path] = Encoder(path, added=True)
     return _made[path]

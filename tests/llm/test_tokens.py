@@ -44,6 +44,19 @@ def test_pieces_give_the_ids_of_whole_texts(name, monkeypatch):
     same()
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_added_tokens_as_the_library_does(name):
+    enc, plain = tokens.encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.sampled_from([" ", "  ", "\n", "a", "The", "don't", "é", "日本", "\u0301", ".", "12", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "endoftext|>", "İ"]), max_size=12).map("".join))
+    def same(text):
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+    same()
+    assert np.frombuffer(enc.encode("end <|endoftext|> of"), "<u4").tolist() == {NAMES[0]: [437, 220, 50256, 286], NAMES[1]: [806, 49407, 539]}[name]
+
+
 @pytest.mark.parametrize("line", ["日本", "don’t", "д", "’"])
 def test_many_lines_without_spaces(line):
     enc = tokens.Encoder(public_tokenizers.path(NAMES[0]))

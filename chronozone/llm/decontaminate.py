@@ -6,20 +6,22 @@ every suffix of every benchmark item is then binary-searched in each shard.  A s
 occurrences of its window with their locations, and comparing on from there the longest verbatim match.
 
 The benchmark is the stated query set.  It is read in blocks of at most ``BLOCK_CHARS`` characters, each broadcast
-by itself; the results of the blocks are merged for each document, so the benchmark may be of any size.
+by itself; the results of the blocks are merged for each row, so the benchmark may be of any size.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, table, texts
+from .common import parts, shared_dir, stored, table, texts
 
 WINDOW, MIN_ITEMS, BLOCK_CHARS, SHARD_WORDS = 8, 2, 16 << 20, 1 << 20
 #: Bytes to bytes: A-Z lower-cased, ASCII other than letters and digits to a space; all else is part of words.
@@ -145,8 +147,8 @@ def blocks(benchmark: DataFrame, most_chars: int = BLOCK_CHARS, window: int = WI
     yield Items(rows, window)
 
 
-def _scan(docs: DataFrame, items: Items, window: int) -> DataFrame:
-    """For each row: words, covered word ranges as one binary, items, the longest match with its item and word position."""
+def _scan(docs: DataFrame, items: Items, window: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """For each row: its ``keys``, words, covered word ranges as one binary, items, the longest match with its item and word position."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
@@ -169,15 +171,15 @@ def _scan(docs: DataFrame, items: Items, window: int) -> DataFrame:
                     top = own[np.argmax(longest[own])]
                     best[k] = (int(longest[top]), items.names[items.item[suffix[top]]], int(at[top]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, len(part)).cast(pa.int64()), pa.array(sizes), pa.array(hit), pa.array(spans, pa.binary()), pa.array(found, pa.list_(pa.string())), *[pa.array([b[j] for b in best], t) for j, t in enumerate((pa.int64(), pa.string(), pa.int64()))]],
-                    ["doc_id", "n_words", "n_hit", "spans", "items", "longest", "longest_item", "longest_at"],
+                    [*[batch.column(c).slice(start, len(part)).cast(pa.int64()) for c in keys], pa.array(sizes), pa.array(hit), pa.array(spans, pa.binary()), pa.array(found, pa.list_(pa.string())), *[pa.array([b[j] for b in best], t) for j, t in enumerate((pa.int64(), pa.string(), pa.int64()))]],
+                    [*keys, "n_words", "n_hit", "spans", "items", "longest", "longest_item", "longest_at"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, spans binary, items array<string>, longest long, longest_item string, longest_at long")
+    return docs.select(*keys, "text").mapInArrow(run, "".join(f"{c} long, " for c in keys) + "n_words long, n_hit long, spans binary, items array<string>, longest long, longest_item string, longest_at long")
 
 
 def _merge(rows: DataFrame) -> DataFrame:
-    """One row of each document from those of the blocks; a document has as many as the benchmark has blocks."""
+    """One row of each ``row`` key from those of the blocks; a key has as many as the benchmark has blocks."""
 
     def run(batches):
         for batch in batches:
@@ -194,7 +196,7 @@ def _merge(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string()))], [*keep, "n_hit", "items"])
 
     best = F.max(F.struct("longest", F.col("longest_item").alias("i"), F.col("longest_at").alias("a")))
-    grouped = rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("parts"), F.collect_list("items").alias("names"), best.alias("b"))
+    grouped = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("spans").alias("parts"), F.collect_list("items").alias("names"), best.alias("b"))
     flat = grouped.select("doc_id", "n_words", "parts", "names", F.col("b.longest").alias("longest"), F.col("b.i").alias("longest_item"), F.col("b.a").alias("longest_at"))
     return flat.mapInArrow(run, "doc_id long, n_words long, longest long, longest_item string, longest_at long, n_hit long, items array<string>")
 
@@ -205,15 +207,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_ch
     ``doc_id, n_words, n_hit, items, longest, longest_item, longest_at``: words inside occurrences of windows, the
     items with occurring windows, and the longest verbatim match with its item and word position (null without any).  A
     window is ``window`` consecutive words of an item, or a shorter item whole.  Null and empty texts have no words, items
-    without words never occur, repeated items count by their id.  Repeated documents each get a row while the benchmark is one
-    block; over several blocks rows with equal ids merge to one.
+    without words never occur, repeated items count by their id.  Each row of ``docs`` gets a row, whatever its id; for a
+    benchmark of several blocks the rows are numbered and stored once in the shared folder, and merge by their number.
     """
-    found = [_scan(docs, x, window) for x in blocks(benchmark, most_chars, window)]
-    if len(found) == 1:
-        return found[0].withColumn("items", F.array_distinct("items")).drop("spans")
-    rows = found[0]
-    for x in found[1:]:
-        rows = rows.union(x)
+    found = blocks(benchmark, most_chars, window)
+    first, second = next(found), next(found, None)
+    if second is None:
+        return _scan(docs, first, window).withColumn("items", F.array_distinct("items")).drop("spans")
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), f"{shared_dir(docs.sparkSession)}/rows")
+    rows = reduce(DataFrame.union, [_scan(numbered, x, window, ("row", "doc_id")) for x in chain((first, second), found)])
     return _merge(rows).select("doc_id", "n_words", "n_hit", "items", "longest", "longest_item", "longest_at")
 
 

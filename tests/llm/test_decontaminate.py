@@ -28,6 +28,14 @@ def test_against_brute_force(spark):
         assert {r.doc_id: (r.n_words, r.n_hit, r.sha) for r in rows} == want
 
 
+def test_rows_with_equal_or_no_ids_over_blocks(spark):
+    a, b = prose(11, 12), prose(12, 12)
+    docs = [(1, a), (1, b), (1, b), (None, a), (None, b), (None, "other"), (2, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    one, many = (sorted(map(repr, d.matches(df, bench, most_chars=most).collect())) for most in (d.BLOCK_CHARS, 40))
+    assert many == one and len(many) == len(docs)
+
+
 def test_longest_match_and_place(spark):
     item = prose(3, 30).split()
     docs = [(1, "nothing " * 5 + " ".join(item[4:25]) + " nothing"), (2, " ".join(item[:7]))]

@@ -1,7 +1,7 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
 A page is read once as a flat list of blocks, without building a tree of elements: block-level tags and ``hr`` part blocks, inline tags
-and ``br`` (white space) don't.  Scripts, styles, templates, comments and the head give no text.  Each block has its words, the share
+and ``br`` (white space) don't.  Scripts, styles, templates, comments and the head give no text; formulas (``math``) do.  Each block has its words, the share
 of its words within links, the same of the block before and after it, whether it lies in the main element or has a mark of
 boilerplate (in ``nav``, ``footer``, ``aside``, ``form``, a page's ``header``, or an element whose class, id or role says advert,
 menu, notice, comments and the like), whether it is a heading, and whether a paragraph, quotation or heading holds it.  In a page without
@@ -24,7 +24,7 @@ from .common import map_arrow, table, texts
 from .html_table import PAGES
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[A-Za-z][A-Za-z0-9:-]*+)(?P<rest2>[^>]*+)>|<[!?/][^>]*+>""", re.S)
-_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "select", "canvas", "video", "audio")}
+_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "canvas", "video", "audio")}
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -32,7 +32,7 @@ _BOILER_TAGS = frozenset(("nav", "footer", "aside", "form", "menu", "dialog", "b
 _MAIN = frozenset(("article", "main"))
 #: A new one of these ends an open one of the second set, up to the nearest of the third.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_NAMED = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label|data-component)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED = re.compile(r"""(?:^|\s)(class|id|role|aria-label|data-component)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _CUE = re.compile(
     r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|advertising|adsense|adslot|sponsor(?:ed|s)?|promo(?:tion|ted|s)?|banners?|nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|toc|footer|foot|masthead|topbar|site-?header|page-?header|global-?header|contentinfo|complementary|search"
@@ -40,23 +40,41 @@ _CUE = re.compile(
     r"|comments?|commentlist|comment-?(?:list|section|form)|disqus|respond|replies|reply|discussion|reader-?comments?|shar(?:e|ing)|social|follow-?us|tags?|tag-?list|byline-?links|copyright|legal|imprint|pullquote|skip-?link|screen-?reader(?:-text)?)(?:$|[^a-z])"
 )
 _CONTENT = re.compile(r"(?:^|[^a-z])(?:(?:article|post|entry|story|main|page|blog|news|text|item)-?(?:body|content|text|main)|content|contents|main|article|articlebody|post|entry|story|hentry|prose|markdown-body)(?:$|[^a-z])")
+#: Names that tell a state or a topic and not what an element is: has-sidebar, comments-open, ad-free, tag-python.
+_STATE = re.compile(r"(?:(?:has|no|not|with|without|is|hide|show)-.*|(?:tag|category|type|format|status)-(?!(?:lists?|links?|clouds?)$).*|.*-(?:open|opened|closed|enabled|disabled|free))\Z")
+#: Names of the wrapper of an article's text, which no other name makes boilerplate.
+_WRAPPER = re.compile(r"(?:(?:article|post|entry|story|main|page|blog|news)-?(?:body|content|text|main)|content|main|article|hentry|prose|markdown-body)\Z")
 _PARAGRAPH = frozenset(("p", "pre", "blockquote", *_HEADING))
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
+def _named(rest: str) -> list[tuple[str, str]]:
+    return [(k.lower(), _CAMEL.sub("-", a or b or c).replace("_", "-").lower()) for k, a, b, c in _NAMED.findall(rest)]
+
+
 def _names(rest: str) -> list[str]:
-    return [_CAMEL.sub("-", a or b or c).replace("_", "-").lower() for a, b, c in _NAMED.findall(rest)]
+    return [x for _, x in _named(rest)]
+
 
+def _marked(tag: str, rest: str, inside_main: bool, inside_article: bool = False) -> bool:
+    """Whether an element is boilerplate by its tag, its names, or being hidden.
 
-def _marked(tag: str, rest: str, inside_main: bool) -> bool:
-    """Whether an element is boilerplate by its tag, its names, or being hidden."""
+    Class and id count name by name, without those of states and topics; they don't mark the wrapper of an article's text,
+    nor an article that is in no other article.
+    """
     if tag in _BOILER_TAGS or tag == "header" and not inside_main:
         return True
     if not rest or tag in ("body", "html", "main"):
         return False
     if _HIDDEN.search(rest):
         return True
-    return any(map(_CUE.search, _names(rest)))
+    named = _named(rest)
+    if any(k not in ("class", "id") and _CUE.search(x) for k, x in named):
+        return True
+    own = [y for k, x in named if k in ("class", "id") for y in x.split()]
+    if tag == "article" and not inside_article or any(map(_WRAPPER.match, own)):
+        return False
+    return any(_CUE.search(x) and not _STATE.match(x) for x in own)
 
 
 class Block:
@@ -178,7 +196,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag in _BLOCK or tag == "a" or rest:
             is_main = tag in _MAIN
-            is_boiler = _marked(tag, rest, main > 0)
+            is_boiler = _marked(tag, rest, main > 0, open_["article"] > 0)
             is_content = not is_boiler and tag in ("div", "section", "td") and any(map(_CONTENT.search, _names(rest)))
             stack.append((tag, is_main, is_content, is_boiler))
             open_[tag] += 1

@@ -39,6 +39,19 @@ def test_a_page():
     assert html.main_text(PAGE) == "Title & more\nShort.\na b cd e <tag>\nx y z\none\ntwo\nq\nr\nSee this.\nlast"
 
 
+@pytest.mark.parametrize("names", ["post-123 post type-post category-news tag-python", "content-area has-sidebar", "main-content no-sidebar", "layout-ad-free", "article-body comments-open"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_of_states_and_topics_keep_the_text(names, tag):
+    page = f'<body><nav><a href=/>Home</a></nav><{tag} class="{names}"><h1>On rivers</h1><p>The river runs by the old mill and on to the sea, <i>slowly</i>.</p><p>Its area is <math><mi>a</mi><mo>=</mo><mn>12</mn></math> acres, as all agree here.</p><div class="ad-slot">Buy boots</div></{tag}><div class="sidebar widget">More of it</div></body>'
+    assert html.main_text(page) == "On rivers\nThe river runs by the old mill and on to the sea, slowly.\nIts area is a=12 acres, as all agree here."
+
+
+@pytest.mark.parametrize("names", ["sidebar", "ad-slot", "site-menu", "comment-list", "tag-cloud", "related-content", "cookie-banner is-open"])
+def test_names_of_boilerplate_still_mark(names):
+    page = f'<article><p>The river runs by the old mill and on to the sea, slowly.</p><div class="{names}"><p>Other words of no concern to the reader of this.</p></div></article>'
+    assert html.main_text(page) == "The river runs by the old mill and on to the sea, slowly."
+
+
 def test_odd_pages():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p> </p>") == html.main_text("<script>a</script>") == ""
     assert html.main_text("<article><p>a < b and c > d &unknown; &#x41;</article>") == "a < b and c > d &unknown; A"

@@ -43,6 +43,18 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert all(got[i] for i in got if i % 10 > 1 and not brute(rows[i][1])[-1])
 
 
+def test_a_group_with_much_junk(spark):
+    rng, rows = random.Random(6), []
+    for i in range(300):
+        text = "\n".join(prose(1000 * i + k, rng.randint(5, 40)) for k in range(rng.randint(4, 12)))
+        if i % 10 < 4:
+            text = " ".join(w + rng.choice(["#", "&&", "|", ""]) for w in text.split())
+        rows.append((i, text, "en", "spam"))
+    got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(got[i] for i in got if i % 10 < 4) == 0
+    assert all(got[i] for i in got if i % 10 > 3 and not brute(rows[i][1])[-1])
+
+
 def test_plan_is_native(spark):
     df = quality.statistics(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
     assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())

@@ -21,11 +21,44 @@ def cases(seed, n):
 
 def test_against_brute_force(spark):
     docs, items = cases(1, 120)
+    items += [(None, prose(50, 9)), (None, prose(700, 9)), (4, prose(57, 30))]  # items without an id, and an id twice
+    docs += [(500 + k, f"x {prose(700, 9)} {prose(50 + k, 30)} y {prose(57, 30)}") for k in range(4)]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = {i: d.brute(t, items) for i, t in docs}
-    for most in (d.BLOCK_CHARS, 40):  # one block, and many
-        rows = d.matches(df, bench, most_chars=most).selectExpr("*", "sha2(array_join(array_sort(items), ','), 256) as sha").collect()
-        assert {r.doc_id: (r.n_words, r.n_hit, r.sha) for r in rows} == want
+    assert sum(w[2] > 1 for w in want.values()) > 20 and sum(w[4] > 9 for w in want.values()) > 20
+    for most in (d.BLOCK_CHARS, 400):  # one block, and several
+        rows = d.matches(df, bench, most_chars=most).selectExpr("*", "sha2(array_join(items, ','), 256) as sha").collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, len(r.items), r.sha, r.longest or 0) for r in rows} == want
+        for least in (1, 2):
+            stay = {r.doc_id for r in d.remove(df, bench, least, most_chars=most).collect()}
+            assert stay == {i for i, w in want.items() if w[2] < least}
+
+
+def test_longest_of_overlapping_and_shared_items():
+    rng = random.Random(5)
+    for _ in range(60):
+        alphabet = [f"w{k}" for k in range(rng.choice([2, 3, 40]))]
+        some = lambda n: [rng.choice(alphabet) for _ in range(n)]
+        base = some(60)
+        items = [(k, " ".join(base[a : a + rng.randint(6, 30)])) for k, a in enumerate(rng.sample(range(50), 8))]
+        text = " ".join([*some(5), *base[rng.randint(0, 10) : rng.randint(30, 60)], "zzz", *base[20:45], *some(8)])
+        sizes, found = d.findings([text], d.Items(items))
+        n_words, n_hit, n_items, _, longest = d.brute(text, items)
+        got = found.get(0)
+        assert (int(sizes[0]), got.hit if got else 0, len(got.items) if got else 0, got.best[0] if got else 0) == (n_words, n_hit, n_items, longest)
+        if got:  # the match is where it is said to be
+            own, at = d.words(text), got.best[2]
+            seq = d.words(dict((str(k), x) for k, x in items)[got.best[1]])
+            assert any(own[at : at + longest] == seq[j : j + longest] for j in range(len(seq)))
+
+
+def test_shared_windows_are_searched_once():
+    shared = prose(77, 40)
+    items = d.Items([(k, f"{shared} {prose(1000 + k, 12)} tail{k}") for k in range(400)])
+    _, _, _, at, _ = d.occurrences([f"{shared} stop " * 200], items)
+    assert len(at) == 200 * 33  # a position has one window, not one for each item
+    _, found = d.findings([f"{shared} stop " * 200], items)
+    assert len(found[0].items) == 400 and found[0].best[0] == 40 and found[0].hit == 200 * 40
 
 
 def test_rows_with_equal_or_no_ids_over_blocks(spark):
@@ -46,9 +79,11 @@ def test_longest_match_and_place(spark):
 
 def test_removal(spark):
     a, b = prose(11, 12), prose(12, 12)
-    docs = spark.createDataFrame([(1, a), (2, f"{a} x {b}"), (None, f"{a} x {b}"), (3, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, a), (2, f"{a} x {b}"), (None, f"{a} x {b}"), (3, None), (4, prose(13, 12)), (4, a), (None, "clean")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
-    assert sorted(map(str, (r.doc_id for r in d.remove(docs, bench).collect()))) == ["1", "3", "None"]
+    for most in (d.BLOCK_CHARS, 40):
+        assert sorted((str(r.doc_id), r.text) for r in d.remove(docs, bench, most_chars=most).collect()) == [("3", None), ("4", prose(13, 12)), ("None", "clean")]
+        assert sorted(str(r.doc_id) for r in d.remove(docs, bench, 2, most_chars=most).collect()) == ["1", "3", "4", "4", "None"]
 
 
 def test_odd_rows(spark, odd, none):

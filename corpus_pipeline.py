@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of less than two benchmark items."""
+    """Documents without any window of the benchmark; each row is judged by its own text, so null texts stay."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 

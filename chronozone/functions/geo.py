@@ -186,13 +186,14 @@ class Grid:
         return interleave(cell(x, self.x1, self.x2, self.cells), cell(y, self.y1, self.y2, self.cells), self.bits)
 
     def _cell(self, v: float, low: float, high: float) -> int:
-        return min(max(int((v - low) // ((high - low) / self.cells)) if v >= low else 0, 0), self.cells - 1)
+        """The twin of ``cell``: the same operations in the same order, so both round alike on borders."""
+        return int(min(max((v - low) / (high - low) * self.cells, 0.0), self.cells - 1.0))
 
     def zcode_of(self, x: float, y: float) -> int:
         return interleave_value(self._cell(x, self.x1, self.x2), self._cell(y, self.y1, self.y2), self.bits)
 
     def codes(self, box: Rectangle) -> list[int]:
-        """The codes of all cells that a rectangle touches. """
+        """The codes of all cells that a rectangle touches."""
         b = box.bbox()
         span = lambda lo, hi, low, high: range(self._cell(lo, low, high), self._cell(hi, low, high) + 1)
         return [interleave_value(i, j, self.bits) for i in span(b.x1, b.x2, self.x1, self.x2) for j in span(b.y1, b.y2, self.y1, self.y2)]

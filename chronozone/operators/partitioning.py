@@ -16,7 +16,8 @@ def interval_id(key: Column | str, low: float, high: float, intervals: int = 102
 
 
 def interval_of(key: float, low: float, high: float, intervals: int = 1024) -> int:
-    return min(max(int((key - low) // ((high - low) / intervals)), 0), intervals - 1)
+    """The twin of ``interval_id``: the same operations in the same order."""
+    return int(min(max((key - low) / ((high - low) / intervals), 0.0), intervals - 1.0))
 
 
 def equal_plan(partitions: int, intervals: int = 1024) -> list[int]:

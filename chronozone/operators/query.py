@@ -15,8 +15,32 @@ from .aggregates import Aggregate, aggregate
 from .predicates import Predicate, between, keep
 
 
-#: Intervals that become a condition each.
-MANY = 8
+#: Intervals that become a condition each, and the span of keys up to which many intervals become a bit map.
+MANY, MAPPED = 8, 1 << 18
+
+
+def within(key: Column, ranges: Sequence[tuple[int, int]]) -> Column:
+    """Whether an integer key is in any of many closed intervals; null for a null key.
+
+    The intervals become a bit map over their span, in 32-bit words of one literal array, so a row costs one look-up however many
+    intervals there are.  Wider spans than ``MAPPED`` are searched interval by interval.  All arithmetic is on longs and never
+    leaves them.
+    """
+    key = key.cast("long")
+    own = [(lo, hi) for lo, hi in ranges if lo <= hi]
+    if not own:
+        return key.isNull() & F.lit(None).cast("boolean")
+    low, high = min(lo for lo, _ in own), max(hi for _, hi in own)
+    if high - low >= MAPPED:
+        return F.exists(F.array(*[F.struct(F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi")) for lo, hi in own]), lambda r: (key >= r["lo"]) & (key <= r["hi"]))
+    bits = 0
+    for lo, hi in own:
+        bits |= ((1 << (hi - lo + 1)) - 1) << (lo - low)
+    array = F.expr(f"array({', '.join(f'{bits >> 32 * k & 0xFFFFFFFF}L' for k in range((high - low) // 32 + 1))})")
+    # a key outside the span is looked up at the edge and found out by the comparison
+    at = F.least(F.greatest(key, F.lit(low).cast("long")), F.lit(high).cast("long")) - F.lit(low).cast("long")
+    word = F.get(array, F.shiftright(at, 5).cast("int"))
+    return key.between(F.lit(low).cast("long"), F.lit(high).cast("long")) & (F.getbit(word, F.pmod(at, F.lit(32)).cast("int")) == 1)
 
 
 @dataclass(frozen=True)
@@ -42,6 +66,10 @@ class RangeQuery:
     def between(self, low: Any = None, high: Any = None) -> RangeQuery:
         return replace(self, ranges=None if low is None and high is None else ((low, high),))
 
+    def ranges_of(self, ranges: Sequence[tuple[Any, Any]]) -> RangeQuery:
+        """Keys in any of several closed intervals."""
+        return replace(self, ranges=tuple(ranges))
+
     def during(self, start: Any = None, end: Any = None) -> RangeQuery:
         return replace(self, start=start, end=end)
 
@@ -73,10 +101,9 @@ class RangeQuery:
             if not own:
                 parts.append(F.lit(False))
             elif len(own) > MANY and all(isinstance(v, int) for r in self.ranges for v in r):
-                # few wide intervals for the scan, then all of them in one expression that names the key once
+                # few wide intervals for the scan, then all of them in one look-up
                 parts.append(reduce(lambda a, b: a | b, [between(self.key, lo, hi) for lo, hi in coalesced(self.ranges, MANY)]))
-                sums = F.array(*[F.struct(F.lit(lo + hi).alias("s"), F.lit(hi - lo).alias("w")) for lo, hi in self.ranges])
-                parts.append(F.exists(sums, lambda r: F.abs(F.col(self.key) * 2 - r["s"]) <= r["w"]))
+                parts.append(within(F.col(self.key), self.ranges))
             elif all(x is not None for x in own):
                 parts.append(reduce(lambda a, b: a | b, own))
         if (t := between(self.time, self.start, self.end)) is not None:

@@ -21,6 +21,8 @@ from ..operators.query import RangeQuery, page
 from ..schema import TemporalSchema
 from ..sources import generators, records
 from ..streaming.ingest import start_ingest, start_records
+from .. import services
+from .files import Store
 from .table import Table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +65,17 @@ def _folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
+_MADE: dict[tuple[str, ...], str] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], Table], **how) -> Table:
+    """A stored table that queries only read, made once in a session."""
+    own = spark.sparkContext.applicationId, str(spark.conf.get("spark.checkpoint.dir", None)), sf_dir, name
+    if own not in _MADE or not Store(spark, _MADE[own]).exists("_table.json"):
+        _MADE[own] = make(_folder(spark)).path
+    return Table.open(spark, _MADE[own], **how)
+
+
 # key and time ranges
 
 
@@ -196,18 +209,27 @@ def predicate_dsl(spark, sf_dir):
 
 @_query("SELECT event_id, user_id FROM events WHERE user_id BETWEEN 0 AND 49 AND event_type = 'view'")
 def equality_hint(spark, sf_dir):
-    return EVENTS.between(0, 49).hint("event_type", "view").select("event_id", "user_id").to_df(_read(spark, sf_dir, "events"))
+    return _events_read(spark, sf_dir).range_query(0, 49, hint=("event_type", "view")).select("event_id", "user_id")
 
 
 @_query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity = 10.0")
 def hint_double(spark, sf_dir):
-    return LINES.hint("l_quantity", 10.0).select("l_orderkey", "l_linenumber").to_df(_read(spark, sf_dir, "lineitem"))
+    def make(folder: str) -> Table:
+        df = _read(spark, sf_dir, "lineitem")
+        made = Table.create(spark, folder, TemporalSchema.of(df, "l_orderkey", "l_shipdate"), bloom_columns=("l_quantity",))
+        made.append(df)
+        return made
+
+    return _kept(spark, sf_dir, "lines", make).range_query(hint=("l_quantity", 10.0)).select("l_orderkey", "l_linenumber")
 
 
 @_query("SELECT event_type, count(*) AS n, min(value * 2) AS lo, max(value * 2) AS hi FROM events GROUP BY event_type")
 def mapper_derived(spark, sf_dir):
-    df = _read(spark, sf_dir, "events").transform(lambda d: d.withColumn("twice", F.col("value") * 2))
-    return EVENTS.agg("event_type", Count(alias="n"), Min("twice", "lo"), Max("twice", "hi")).to_df(df)
+    df = _read(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
+    schema = TemporalSchema.of(df.withColumn("twice", F.col("value") * 2).drop("value"), "user_id", "ts")
+    made = Table.create(spark, _folder(spark), schema, mapper=lambda d: d.withColumn("twice", F.col("value") * 2))
+    made.append(df)
+    return made.range_query(group_by="event_type", aggs=[Count(alias="n"), Min("twice", "lo"), Max("twice", "hi")])
 
 
 # order and pages
@@ -250,9 +272,18 @@ def _geo(spark, sf_dir) -> DataFrame:
     return df.withColumn("zcode", GRID.zcode("lon", "lat"))
 
 
-def _shape_query(shape, exact: bool = True) -> RangeQuery:
-    q = RangeQuery("zcode", "ts", ranges=tuple(GRID.intervals(shape.bbox())))
-    return q.where(shape.contains("lon", "lat")) if exact else q
+def _geo_table(spark, sf_dir) -> Table:
+    def make(folder: str) -> Table:
+        df = _geo(spark, sf_dir).select("event_id", "event_type", "value", "zcode", "ts", "lon", "lat")
+        made = Table.create(spark, folder, TemporalSchema.of(df, "zcode", "ts"), grid=GRID)
+        made.append(df)
+        return made
+
+    return _kept(spark, sf_dir, "geo", make)
+
+
+def _in_shape(spark, sf_dir, shape, **how) -> DataFrame:
+    return _geo_table(spark, sf_dir).geo_query(shape, x="lon", y="lat", **how)
 
 
 def _crossing(a, b) -> str:
@@ -276,27 +307,45 @@ def cell_histogram(spark, sf_dir):
 
 @_query(f"SELECT event_id FROM ({_GEO}) WHERE lon BETWEEN 112.0::DOUBLE AND 113.0::DOUBLE AND lat BETWEEN 22.0::DOUBLE AND 23.5::DOUBLE")
 def geo_rectangle(spark, sf_dir):
-    return _shape_query(_RECT).select("event_id").to_df(_geo(spark, sf_dir))
+    return _in_shape(spark, sf_dir, _RECT).select("event_id")
 
 
 @_query(f"SELECT event_id FROM ({_GEO}) WHERE least(greatest(floor((lon - 111.0::DOUBLE) / 4.0::DOUBLE * 128), 0), 127) BETWEEN 32 AND 64 AND least(greatest(floor((lat - 21.0::DOUBLE) / 5.0::DOUBLE * 128), 0), 127) BETWEEN 25 AND 64")
 def geo_rectangle_cells(spark, sf_dir):
-    return _shape_query(_RECT, exact=False).select("event_id").to_df(_geo(spark, sf_dir))
+    return _in_shape(spark, sf_dir, _RECT, exact=False).select("event_id")
 
 
 @_query(f"SELECT event_id FROM ({_GEO}) WHERE sqrt((lon - 113.0::DOUBLE) * (lon - 113.0::DOUBLE) + (lat - 23.0::DOUBLE) * (lat - 23.0::DOUBLE)) <= 0.75::DOUBLE")
 def geo_circle(spark, sf_dir):
-    return _shape_query(_CIRCLE).select("event_id").to_df(_geo(spark, sf_dir))
+    return _in_shape(spark, sf_dir, _CIRCLE).select("event_id")
 
 
 @_query(f"SELECT event_id FROM ({_GEO}) WHERE {_INSIDE}")
 def geo_polygon(spark, sf_dir):
-    return _shape_query(_POLYGON).select("event_id").to_df(_geo(spark, sf_dir))
+    return _in_shape(spark, sf_dir, _POLYGON).select("event_id")
 
 
 @_query(f"SELECT event_type, count(*) AS n, max(value) AS hi FROM ({_GEO}) WHERE lon BETWEEN 112.0::DOUBLE AND 113.0::DOUBLE AND lat BETWEEN 22.0::DOUBLE AND 23.5::DOUBLE AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' GROUP BY event_type")
 def geo_agg(spark, sf_dir):
-    return _shape_query(_RECT).during(_ntz("2024-01-05"), _ntz("2024-01-20")).agg("event_type", Count(alias="n"), Max("value", "hi")).to_df(_geo(spark, sf_dir))
+    return _in_shape(spark, sf_dir, _RECT, start=_ntz("2024-01-05"), end=_ntz("2024-01-20"), group_by="event_type", aggs=[Count(alias="n"), Max("value", "hi")])
+
+
+_TENTHS = "SELECT *, CAST(event_id % 11 AS DOUBLE) / 10 AS lon, CAST(event_id // 11 % 11 AS DOUBLE) / 10 AS lat FROM events"
+
+
+@_query(f"SELECT event_id FROM ({_TENTHS}) WHERE lon BETWEEN 0.0::DOUBLE AND 0.3::DOUBLE AND lat BETWEEN 0.2::DOUBLE AND 0.7::DOUBLE")
+def geo_borders(spark, sf_dir):
+    """Points on the borders of cells, and a rectangle whose edges are borders."""
+
+    def make(folder: str) -> Table:
+        grid, df = Grid(0.0, 1.0, 0.0, 1.0, 10), _read(spark, sf_dir, "events")
+        df = df.select("event_id", "ts", ((F.col("event_id") % 11).cast("double") / 10).alias("lon"), (F.floor(F.col("event_id") / 11) % 11).cast("double").alias("lat")).withColumn("lat", F.col("lat") / 10)
+        df = df.withColumn("zcode", grid.zcode("lon", "lat"))
+        made = Table.create(spark, folder, TemporalSchema.of(df, "zcode", "ts"), grid=grid)
+        made.append(df)
+        return made
+
+    return _kept(spark, sf_dir, "borders", make).geo_query(Rectangle(0.0, 0.2, 0.3, 0.7), x="lon", y="lat").select("event_id")
 
 
 _NET = "SELECT *, CAST((user_id * 2654435761) % 4294967296 - 2147483648 AS BIGINT) AS dest_ip FROM events"
@@ -304,8 +353,26 @@ _NET = "SELECT *, CAST((user_id * 2654435761) % 4294967296 - 2147483648 AS BIGIN
 
 @_query(f"SELECT event_id, dest_ip FROM ({_NET}) WHERE dest_ip BETWEEN -1062731776 AND 1000000000")
 def network_range(spark, sf_dir):
-    df = _read(spark, sf_dir, "events").withColumn("dest_ip", (F.col("user_id") * F.lit(2654435761)) % F.lit(4294967296) - F.lit(2147483648))
-    return RangeQuery("dest_ip", "ts").between(scalar.ipv4_value("192.168.0.0"), 1_000_000_000).select("event_id", "dest_ip").to_df(df)
+    return _net_table(spark, sf_dir).network_query("192.168.0.0", 1_000_000_000).select("event_id", "dest_ip")
+
+
+def _net_table(spark, sf_dir) -> Table:
+    def make(folder: str) -> Table:
+        df = _read(spark, sf_dir, "events").withColumn("dest_ip", ((F.col("user_id") * F.lit(2654435761)) % F.lit(4294967296) - F.lit(2147483648)).cast("int"))
+        made = Table.create(spark, folder, TemporalSchema.of(df, "dest_ip", "ts"))
+        made.append(df)
+        return made
+
+    return _kept(spark, sf_dir, "net", make)
+
+
+_BLOCKS = tuple((-2_100_000_000 + 400_000_000 * k, -2_100_000_000 + 400_000_000 * k + 200_000_000) for k in range(11))
+
+
+@_query(f"SELECT event_id FROM ({_NET}) WHERE " + " OR ".join(f"dest_ip BETWEEN {a} AND {b}" for a, b in _BLOCKS))
+def network_many_ranges(spark, sf_dir):
+    table = _net_table(spark, sf_dir)
+    return table.run(table.query().ranges_of(_BLOCKS)).select("event_id")
 
 
 # partitioning
@@ -328,7 +395,17 @@ def partition_loads(spark, sf_dir):
     return partitioning.loads(partitioning.histogram(_read(spark, sf_dir, "events"), "user_id", 0, 150, 16), partitioning.equal_plan(4, 16))
 
 
-@_query()
+@_query(f"""
+WITH RECURSIVE h AS (SELECT i.k, count(e.event_id) AS n FROM (SELECT unnest(range(16)) AS k) i LEFT JOIN events e ON {_IVAL} = i.k GROUP BY i.k),
+goal AS (SELECT sum(n) / 4.0 AS g FROM h),
+r AS (
+  SELECT CAST(-1 AS BIGINT) AS k, CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS at, CAST(0 AS BIGINT) AS fill
+  UNION ALL
+  SELECT h.k, r.at, CASE WHEN r.at < 3 AND r.fill + h.n >= g THEN r.at + 1 ELSE r.at END, CASE WHEN r.at < 3 AND r.fill + h.n >= g THEN 0 ELSE r.fill + h.n END
+  FROM r JOIN h ON h.k = r.k + 1, goal
+)
+SELECT part AS partition, CAST(sum(n) AS BIGINT) AS load FROM r JOIN h USING (k) GROUP BY part
+""")
 def repartition_plan(spark, sf_dir):
     hist = partitioning.histogram(_read(spark, sf_dir, "events"), "user_id", 0, 150, 16)
     plan = partitioning.repartition_plan(partitioning.weights(hist, 16), 4)
@@ -338,51 +415,61 @@ def repartition_plan(spark, sf_dir):
 # chunk store
 
 
-def _events_table(spark, sf_dir, **how) -> Table:
-    df = _read(spark, sf_dir, "events")
-    made = Table.create(spark, _folder(spark), TemporalSchema.of(df, "user_id", "ts"), bloom_columns=("event_type",), **how)
-    made.append(df.where(F.col("ts") < _ntz("2024-01-11")))
-    made.append(df.where((F.col("ts") >= _ntz("2024-01-11")) & (F.col("ts") < _ntz("2024-01-21"))))
+def _thirds(spark, sf_dir) -> list[DataFrame]:
+    df, first, second = _read(spark, sf_dir, "events"), _ntz("2024-01-11"), _ntz("2024-01-21")
+    return [df.where(F.col("ts") < first), df.where((F.col("ts") >= first) & (F.col("ts") < second)), df.where(F.col("ts") >= second)]
+
+
+def _events_table(spark, sf_dir, folder: str | None = None, hot: bool = False, **how) -> Table:
+    """All events in three appends by time, the last of them to the hot tier if asked."""
+    parts = _thirds(spark, sf_dir)
+    made = Table.create(spark, folder or _folder(spark), TemporalSchema.of(parts[0], "user_id", "ts"), bloom_columns=("event_type",), **how)
+    for k, part in enumerate(parts):
+        made.append(part, hot=hot and k == 2)
     return made
 
 
-@_query("SELECT user_id, count(*) AS n FROM events WHERE user_id BETWEEN 20 AND 40 AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-09' GROUP BY user_id")
+def _events_read(spark, sf_dir) -> Table:
+    return _kept(spark, sf_dir, "events", lambda folder: _events_table(spark, sf_dir, folder))
+
+
+@_query("SELECT user_id, count(*) AS n FROM events WHERE user_id BETWEEN 20 AND 40 AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-29' GROUP BY user_id")
 def stored_range_query(spark, sf_dir):
-    return _events_table(spark, sf_dir).range_query(20, 40, _ntz("2024-01-03"), _ntz("2024-01-09"), group_by="user_id", aggs=[Count(alias="n")])
+    return _events_read(spark, sf_dir).range_query(20, 40, _ntz("2024-01-03"), _ntz("2024-01-29"), group_by="user_id", aggs=[Count(alias="n")])
+
+
+@_query("SELECT event_id, user_id, ts, value FROM events WHERE user_id BETWEEN 10 AND 12")
+def stored_append(spark, sf_dir):
+    return _events_table(spark, sf_dir).range_query(10, 12).select("event_id", "user_id", "ts", "value")
 
 
 @_query("SELECT event_id, user_id, value FROM events")
 def hot_cold_union(spark, sf_dir):
-    made = _events_table(spark, sf_dir)
-    made.append(_read(spark, sf_dir, "events").where(F.col("ts") >= _ntz("2024-01-21")), hot=True)
-    return made.to_df().select("event_id", "user_id", "value")
+    return _events_table(spark, sf_dir, hot=True).to_df().select("event_id", "user_id", "value")
 
 
-@_query("SELECT CAST(count(*) AS BIGINT) AS rows, CAST(min(user_id) AS DOUBLE) AS key_lo, CAST(max(user_id) AS DOUBLE) AS key_hi, epoch_us(min(ts)) AS ts_lo, epoch_us(max(ts)) AS ts_hi FROM events WHERE ts < TIMESTAMP '2024-01-21'")
+@_query("SELECT CAST(count(*) AS BIGINT) AS rows, CAST(min(user_id) AS DOUBLE) AS key_lo, CAST(max(user_id) AS DOUBLE) AS key_hi, epoch_us(min(ts)) AS ts_lo, epoch_us(max(ts)) AS ts_hi FROM events")
 def chunk_boxes(spark, sf_dir):
-    return _events_table(spark, sf_dir).manifest.boxes().agg(F.sum("rows").alias("rows"), F.min("key_lo").alias("key_lo"), F.max("key_hi").alias("key_hi"), F.min("ts_lo").alias("ts_lo"), F.max("ts_hi").alias("ts_hi"))
+    return _events_read(spark, sf_dir).manifest.boxes().agg(F.sum("rows").alias("rows"), F.min("key_lo").alias("key_lo"), F.max("key_hi").alias("key_hi"), F.min("ts_lo").alias("ts_lo"), F.max("ts_hi").alias("ts_hi"))
 
 
-@_query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-21'")
+@_query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-11'")
 def retention_survivors(spark, sf_dir):
     made = _events_table(spark, sf_dir)
     made.retain(1_704_931_200_000_000)
     return made.to_df().select("event_id")
 
 
-@_query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS s FROM events WHERE ts < TIMESTAMP '2024-01-21' GROUP BY event_type")
+@_query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY event_type")
 def compacted(spark, sf_dir):
     made = _events_table(spark, sf_dir)
     made.compact()
     return made.range_query(group_by="event_type", aggs=[Count(alias="n"), Sum("value", "s")]).withColumn("s", F.round("s", 4))
 
 
-@_query(f"SELECT event_id FROM ({_GEO}) WHERE lon BETWEEN 112.0::DOUBLE AND 113.0::DOUBLE AND lat BETWEEN 22.0::DOUBLE AND 23.5::DOUBLE")
+@_query(f"SELECT event_id FROM ({_GEO}) WHERE lon BETWEEN 112.0::DOUBLE AND 113.0::DOUBLE AND lat BETWEEN 22.0::DOUBLE AND 23.5::DOUBLE AND ts >= TIMESTAMP '2024-01-10'")
 def stored_geo_query(spark, sf_dir):
-    df = _geo(spark, sf_dir).select("event_id", "zcode", "ts", "lon", "lat")
-    made = Table.create(spark, _folder(spark), TemporalSchema.of(df, "zcode", "ts"), grid=GRID)
-    made.append(df)
-    return made.geo_query(_RECT, x="lon", y="lat").select("event_id")
+    return _in_shape(spark, sf_dir, _RECT, start=_ntz("2024-01-10")).select("event_id")
 
 
 # records and scalar functions
@@ -409,7 +496,9 @@ def datetime_format(spark, sf_dir):
 
 @_query("""SELECT event_id, '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}' AS value FROM events""")
 def tuple_to_json(spark, sf_dir):
-    return _read(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", "user_id", "event_type")).alias("value"))
+    df = _read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    made = records.to_json(df, TemporalSchema(df.schema, "user_id"))
+    return made.select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), "value")
 
 
 @_query("SELECT event_id, CAST((event_id % 256) * 16777216 + (event_id // 7 % 256) * 65536 + 258 - CASE WHEN event_id % 256 >= 128 THEN 4294967296 ELSE 0 END AS INTEGER) AS ip FROM events")
@@ -428,7 +517,38 @@ def text_functions(spark, sf_dir):
 
 @_query("SELECT event_id, ts, value FROM events WHERE user_id = 42 AND event_type = 'click' AND ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-25' ORDER BY ts")
 def track_search(spark, sf_dir):
-    return EVENTS.during(_ntz("2024-01-02"), _ntz("2024-01-25")).where(all_equal(user_id=42, event_type="click")).select("event_id", "ts", "value").sort("ts", "event_id").to_df(_read(spark, sf_dir, "events"))
+    return services.track(_events_read(spark, sf_dir), _ntz("2024-01-02"), _ntz("2024-01-25"), user_id=42, event_type="click").select("event_id", "ts", "value")
+
+
+@_query("SELECT event_id, value FROM events WHERE user_id = 7 ORDER BY ts, event_id LIMIT 20 OFFSET 20")
+def track_second_page(spark, sf_dir):
+    track = services.track(_events_read(spark, sf_dir), None, None, user_id=7)
+    return page(track, 2, 20, ["ts", "event_id"]).select("event_id", "value")
+
+
+def _devices(spark, sf_dir) -> Table:
+    def make(folder: str) -> Table:
+        df = _geo(spark, sf_dir).select("event_id", "user_id", "zcode", "lon", "lat", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+        made = Table.create(spark, folder, TemporalSchema.of(df, "zcode", "at"), grid=GRID)
+        made.append(df)
+        return made
+
+    return _kept(spark, sf_dir, "devices", make)
+
+
+_NOW = 1_705_276_800_000  # 2024-01-15
+
+
+@_query("SELECT event_id, user_id FROM events WHERE epoch_us(ts) // 1000 BETWEEN 1705276800000 - 43200000 AND 1705276800000")
+def positions_now(spark, sf_dir):
+    return services.current_positions(_devices(spark, sf_dir), 43_200, _NOW).select("event_id", "user_id")
+
+
+@_query(f"SELECT 'true' AS success, CAST(count(*) AS BIGINT) AS n FROM ({_GEO}) WHERE lon BETWEEN 112.0::DOUBLE AND 113.0::DOUBLE AND lat BETWEEN 22.0::DOUBLE AND 23.5::DOUBLE AND epoch_us(ts) // 1000 BETWEEN 1705276800000 - 864000000 AND 1705276800000")
+def positions_in_shape(spark, sf_dir):
+    answer = services.count_in_shape(_devices(spark, sf_dir), {"type": "rectangle", "leftTop": "112.0,23.5", "rightBottom": "113.0,22.0"}, seconds=864_000, now_millis=_NOW, x="lon", y="lat")
+    text = spark.createDataFrame([(answer,)], "answer string")
+    return text.select(F.get_json_object("answer", "$.success").alias("success"), F.get_json_object("answer", "$.result").cast("long").alias("n"))
 
 
 @_query("SELECT user_id, count(*) AS n FROM events WHERE epoch_us(ts) // 1000 BETWEEN (SELECT epoch_us(max(ts)) // 1000 - 86400000 FROM events) AND (SELECT epoch_us(max(ts)) // 1000 FROM events) GROUP BY user_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
@@ -15,12 +16,13 @@ from pyspark.sql import types as T
 from ..config import Config
 from ..functions.geo import Grid, Interval, Shape, coalesced
 from ..functions.scalar import ipv4_value
+from ..operators import partitioning
 from ..operators.aggregates import Aggregate
 from ..operators.predicates import Predicate
-from ..operators.query import RangeQuery
+from ..operators.query import MANY, RangeQuery
 from ..schema import TemporalSchema
 from .files import Store
-from .manifest import Manifest, Version, overlaps
+from .manifest import Conflict, Manifest, Version
 
 Mapper = Callable[[DataFrame], DataFrame]
 
@@ -39,6 +41,7 @@ class Table:
         self.mapper, self.bloom_columns, self.config, self.grid = mapper, tuple(bloom_columns), config or Config(), grid
         self.manifest = Manifest(spark, f"{self.path}/_manifest")
         self._hot: list[DataFrame] = []
+        self._retained: float | None = None
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, schema: TemporalSchema, mapper: Mapper | None = None, bloom_columns: Sequence[str] = (), config: Config | None = None, grid: Grid | None = None) -> Table:
@@ -101,36 +104,97 @@ class Table:
             for df in own:
                 df.unpersist()
 
-    def compact(self) -> None:
-        """Rewrite all chunks as one sorted segment; versions before still read the old files."""
-        before = self.manifest.version()
-        segment = uuid.uuid4().hex
-        self.manifest.replace(self._write(self._cold(self.manifest.boxes(before)), segment), segment, before)
+    def _rewritten(self, change: Callable[[Version], Version | None], tries: int = 5) -> Version | None:
+        """What ``change`` publishes from the newest version; tried again if another rewrite came between."""
+        for _ in range(tries):
+            try:
+                return change(self.manifest.version())
+            except Conflict:
+                continue
+        raise RuntimeError("other rewrites were always first")
+
+    def compact(self, small_rows: int | None = None) -> None:
+        """Rewrite chunks as one sorted segment; versions before still read the old files.
+
+        With ``small_rows`` only segments of fewer rows are merged (if there are two or more), so the work follows what came in
+        since; else all are.
+        """
 
-    def retain(self, newest_before: Any, delete_files: bool = False) -> int:
+        def change(before: Version) -> Version | None:
+            own = before.segments
+            if small_rows is not None:
+                sizes = self.manifest.sizes(before)
+                own = [s for s in own if sizes.get(s, 0) < small_rows]
+            if len(own) < (1 if small_rows is None else 2):
+                return None
+            segment = uuid.uuid4().hex
+            return self.manifest.replace(self._write(self._cold(self.manifest.boxes(Version(-1, own))), segment), segment, own)
+
+        self._rewritten(change)
+
+    def retain(self, newest_before: Any = None, delete_files: bool = False) -> int:
         """Drop chunks whose newest row is older than a time (microseconds for timestamps); the number dropped.
 
-        Files stay for readers of older versions unless ``delete_files``.
+        Without a time it is ``Config.keep_hours`` before the newest row of the table (longs are milliseconds).  Files stay for readers of older
+        versions unless ``delete_files``; their names pass the driver a partition at a time.
         """
-        before = self.manifest.version()
-        boxes = self.manifest.boxes(before)
-        old = [r.path for r in boxes.where(F.col("ts_hi") < F.lit(newest_before)).select("path").collect()]
-        if old:
-            self.manifest.replace(boxes.where(F.col("ts_hi") >= F.lit(newest_before)), uuid.uuid4().hex, before)
+        dropped = 0
+
+        def change(before: Version) -> Version | None:
+            nonlocal dropped
+            boxes = self.manifest.boxes(before)
+            bound = newest_before
+            if bound is None:
+                # boxes left open by null times say nothing of the newest row
+                newest = boxes.where(F.col("ts_hi") < 2**63 - 1).agg(F.max("ts_hi")).first()[0]
+                bound = None if newest is None else newest - int(self.config.keep_hours * 3_600_000 * (1000 if self._timestamps() else 1))
+            old = None if bound is None else boxes.where(F.col("ts_hi") < F.lit(bound)).select("path")
+            dropped = 0 if old is None else old.count()
+            if not dropped:
+                return None
+            made = self.manifest.replace(boxes.where(F.col("ts_hi") >= F.lit(bound)), uuid.uuid4().hex, before.segments)
             if delete_files:
                 jvm, fs = self.spark.sparkContext._jvm, self.manifest.store.fs
-                for p in old:
-                    fs.delete(jvm.org.apache.hadoop.fs.Path(p), False)
-        return len(old)
+                for r in old.toLocalIterator():
+                    fs.delete(jvm.org.apache.hadoop.fs.Path(r.path), False)
+            return made
+
+        self._rewritten(change)
+        return dropped
+
+    def retain_due(self, delete_files: bool = False) -> int:
+        """``retain`` by ``Config.keep_hours``, if ``Config.remove_interval_hours`` have passed since this process did so last."""
+        now = time.monotonic()
+        if self._retained is not None and now - self._retained < self.config.remove_interval_hours * 3600:
+            return 0
+        self._retained = now
+        return self.retain(delete_files=delete_files)
+
+    def balance(self, low: float, high: float, partitions: int) -> tuple[float, list[int] | None]:
+        """The skew of key partitions of equal width over the stored rows, and a better plan if it exceeds ``Config.skew_threshold``
+        (None if not, or without ``Config.load_balance``).  A plan assigns each of ``Config.intervals`` intervals to a partition."""
+        own = partitioning.weights(partitioning.histogram(self.to_df(), self.schema.index_field, low, high, self.config.intervals), self.config.intervals)
+        plan, load = partitioning.equal_plan(partitions, self.config.intervals), [0.0] * partitions
+        for w, p in zip(own, plan):
+            load[p] += w
+        better = partitioning.rebalanced(own, plan, partitions, self.config.skew_threshold) if self.config.load_balance else None
+        return partitioning.skew_factor(load), better
 
     # reading
 
-    def _cold(self, boxes: DataFrame) -> DataFrame:
-        paths = [r.path for r in boxes.select("path").limit(self.config.listed_files + 1).collect()]
+    def _timestamps(self) -> bool:
+        return isinstance(self.schema.struct[self.schema.temporal_field].dataType, (T.TimestampType, T.TimestampNTZType))
+
+    def _cold(self, boxes: list[str] | DataFrame) -> DataFrame:
+        """The rows of the files with these paths, or with these boxes if they are too many to name."""
+        if isinstance(boxes, DataFrame):
+            paths = [r.path for r in boxes.select("path").limit(self.config.listed_files + 1).collect()]
+        else:
+            paths = boxes
         if not paths:
             return self.spark.createDataFrame([], self.schema.struct)
-        if len(paths) > self.config.listed_files:
-            # too many to name: read the segments and keep the files of this version
+        if isinstance(boxes, DataFrame) and len(paths) > self.config.listed_files:
+            # read the segments' folders, a name each, and keep the files of this version
             folders = [r.f for r in boxes.select(F.regexp_replace("path", "/[^/]*$", "").alias("f")).distinct().collect()]
             df = self.spark.read.schema(self.schema.struct).parquet(*folders)
             return df.withColumn("__path", F.col("_metadata.file_path")).join(boxes.select(F.col("path").alias("__path")), "__path", "left_semi").drop("__path")
@@ -138,18 +202,15 @@ class Table:
 
     def _micros(self, t: Any) -> Any:
         """A bound of the temporal field as the long that boxes have."""
-        if t is None or not isinstance(self.schema.struct[self.schema.temporal_field].dataType, (T.TimestampType, T.TimestampNTZType)):
+        if t is None or not self._timestamps():
             return t
         return self.spark.range(1).select(F.unix_micros(F.lit(t).cast("timestamp"))).first()[0]
 
     def scan(self, ranges: Iterable[tuple[Any, Any]] | None = None, start: Any = None, end: Any = None, version: Version | None = None) -> DataFrame:
         """Rows of all chunks that may meet the ranges, and the hot rows; not yet filtered."""
         lo, hi = self._micros(start), self._micros(end)
-        boxes = self.manifest.boxes(version)
-        test = overlaps(None, None, lo, hi)
-        if ranges is not None:
-            test = test & reduce(lambda a, b: a | b, [overlaps(a, b) for a, b in ranges], F.lit(False))
-        return reduce(DataFrame.unionByName, self._hot, self._cold(boxes.where(test)))
+        found = self.manifest.select(ranges, lo, hi, version, self.config.listed_files)
+        return reduce(DataFrame.unionByName, self._hot, self._cold(found))
 
     def to_df(self) -> DataFrame:
         return self.scan()
@@ -174,7 +235,8 @@ class Table:
         if not self.grid:
             raise ValueError("the table has no grid")
         found: list[Interval] = self.grid.intervals(shape.bbox())
-        q = RangeQuery(self.schema.index_field, self.schema.temporal_field, ranges=tuple(coalesced(found) if exact else found))
+        # with an exact shape the cells only prune: a few wide intervals will do
+        q = RangeQuery(self.schema.index_field, self.schema.temporal_field, ranges=tuple(coalesced(found, MANY) if exact else found))
         if exact:
             q = q.where(shape.contains(x, y))
         return self.run(self._described(q, start, end, where, having, group_by, aggs, order_by, hint))

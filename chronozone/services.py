@@ -27,8 +27,11 @@ def current_positions(table: Table, seconds: int = RECENT_SECONDS, now_millis: i
     return table.range_query(None, None, *recent_bounds(seconds, now_millis))
 
 
-def positions_json(table: Table, **how: Any) -> str:
-    return _answer([json.loads(r) for r in current_positions(table, **how).toJSON().collect()])
+def positions_json(table: Table, page: int = 1, rows: int | None = None, order: list[str] | None = None, **how: Any) -> str:
+    """A page of the current positions (of ``Config.page_rows`` rows if not said), newest first, with totals."""
+    wanted = order or [f"-{table.schema.temporal_field}", *table.schema.names]
+    found = paged(current_positions(table, **how), page, rows or table.config.page_rows, wanted)
+    return _answer([json.loads(r) for r in found.rows.toJSON().collect()], page=found.page, total=found.total, totalPage=found.pages)
 
 
 def count_in_shape(table: Table, shape: str | dict, device: str | None = None, seconds: int = RECENT_SECONDS, now_millis: int | None = None, device_field: str = "devid", **columns: str) -> str:
@@ -48,8 +51,9 @@ def track(table: Table, start: Any, end: Any, order: str | None = None, **equal:
     return table.range_query(None, None, start, end, where=all_equal(**equal), order_by=[order or table.schema.temporal_field])
 
 
-def track_page(table: Table, start: Any, end: Any, page: int, rows: int, order: list[str], **equal: Any) -> str:
-    """A page of a track, with totals and the filters."""
+def track_page(table: Table, start: Any, end: Any, page: int, rows: int | None, order: list[str], **equal: Any) -> str:
+    """A page of a track (of ``Config.page_rows`` rows if not said), with totals and the filters."""
+    rows = rows or table.config.page_rows
     found = paged(table.range_query(None, None, start, end, where=all_equal(**equal)), page, rows, order)
     return _answer([json.loads(r) for r in found.rows.toJSON().collect()], page=found.page, total=found.total, totalPage=found.pages, startTime=start, endTime=end, **equal)
 

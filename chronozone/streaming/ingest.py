@@ -11,15 +11,18 @@ from ..schema import TemporalSchema
 from ..sources.records import parse
 
 
-def start_ingest(table: Table, stream: DataFrame, checkpoint: str, name: str = "ingest", interval: str | None = None, mapper: Mapper | None = None) -> StreamingQuery:
+def start_ingest(table: Table, stream: DataFrame, checkpoint: str, name: str = "ingest", interval: str | None = None, mapper: Mapper | None = None, retain: bool = False) -> StreamingQuery:
     """Append a stream's rows to a table.
 
     A batch that is run again after a failure has the same number and is in the manifest once at most.  Late rows are
     accepted and visible like any others; there is no watermark.  ``interval`` None processes what is there and ends.
+    With ``retain`` old chunks are dropped by the table's settings, every ``Config.remove_interval_hours``.
     """
 
     def put(df: DataFrame, batch: int) -> None:
         table.append_batch(mapper(df) if mapper else df, name, batch)
+        if retain:
+            table.retain_due()
 
     writer = stream.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(put)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

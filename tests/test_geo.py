@@ -36,6 +36,21 @@ def test_intervals_hold_every_point_of_a_rectangle():
         assert hit or not (500 <= x <= 700 and 1024 <= y <= 1080)
 
 
+def test_cells_on_borders_and_random_grids(spark):
+    """The grid's cells and those of the column form are the same, on borders too."""
+    rng = random.Random(7)
+    for _ in range(12):
+        low, cells = rng.choice([0.0, 0.1, -3.3, 111.0]), rng.choice([3, 7, 10, 100, 128])
+        grid = Grid(low, low + rng.choice([1.0, 0.7, 4.0]), low, low + rng.choice([0.3, 1.0, 5.0]), cells)
+        xs = [grid.x1 + (grid.x2 - grid.x1) * k / cells for k in range(cells + 1)]
+        ys = [round(grid.y1 + (grid.y2 - grid.y1) * k / cells, 3) for k in range(cells + 1)]
+        points = list(zip(xs, ys)) + [(float("inf"), float("-inf"))]
+        rows = spark.createDataFrame(points, "x double, y double").select("x", "y", grid.zcode("x", "y").alias("z")).collect()
+        assert [r.z for r in rows] == [grid.zcode_of(r.x, r.y) for r in rows]
+    ids = spark.range(41).selectExpr("id / 20D as k").select("k", P.interval_id("k", 0, 2, 20).alias("i")).collect()
+    assert [r.i for r in ids] == [P.interval_of(r.k, 0, 2, 20) for r in ids]
+
+
 def test_shapes(spark):
     assert inside(spark, Rectangle(0, 2, 2, 0), (1, 1), (0, 3), (1, 2)) == [True, False, True]
     assert inside(spark, Circle(1, 0, 1), (1, 0), (1, 2), (1, 1)) == [True, False, True]

@@ -2,11 +2,13 @@
 
 Fingerprints that differ in at most ``bits`` of 64 bits are linked.  The work is on distinct fingerprints only:
 
-1. Among ``bits + 2`` blocks of the 64 bits at least two are equal for linked fingerprints, so each pair of blocks gives a
-   bucket key (16-bit blocks, 32-bit keys, six for two bits) and every link lies within a bucket.
-2. Each fingerprint has a row in the pivot table: its Hamming distances to ``PIVOTS`` reference fingerprints.  Within a bucket
-   rows are ordered by their first coordinate; by the triangle inequality pairs whose coordinates differ by more than ``bits``
-   anywhere can't be linked and are discarded, and the survivors are verified by the Hamming distance itself.
+1. The pivot table has a row for each fingerprint: its Hamming distances to ``PIVOTS`` reference fingerprints.  By the
+   triangle inequality pairs whose coordinates differ by more than ``bits`` anywhere can't be linked.  Rows are ordered by their first
+   coordinate, so only pairs within reach there are formed; the other coordinates discard all but a few, and
+   those are verified by the Hamming distance itself.
+2. Coordinates alone don't part a large table: a distance to a reference has some twenty usual values.  So tables are made for
+   buckets: of three blocks of the 64 bits linked fingerprints have one in common, and each block's hash, cut so that a bucket has
+   about ``BUCKET`` fingerprints whatever their number, is a key.  Every link lies within a bucket of some block.
 3. Buckets of more than ``DENSE`` fingerprints are never compared pairwise.  Their members go to an exact form without
    pairs: two fingerprints are within two bits just if some value is within one bit of both, so each emits itself and its 64
    one-bit neighbours, and those that meet in a value are linked.  A value meets 65 fingerprints at most, whatever the skew.
@@ -14,8 +16,6 @@ Fingerprints that differ in at most ``bits`` of 64 bits are linked.  The work is
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,8 +25,12 @@ from pyspark.sql import functions as F
 from .common import map_arrow, shared_dir, stored, table, texts
 from .components import components
 
-SHINGLE, BITS, PIVOTS, DENSE = 3, 2, 16, 512
+SHINGLE, BITS, PIVOTS, BUCKET, DENSE = 3, 2, 16, 128, 1024
+#: First bit and length of the blocks.
+BLOCKS = ((0, 22), (22, 21), (43, 21))
 _PIVOTS = np.random.default_rng(6).integers(0, 2**64, PIVOTS, np.uint64)
+#: Pairs that are held at once.
+FORMED = 1 << 18
 _ONES = (np.uint64(1) << np.arange(64, dtype=np.uint64)).astype(np.uint64)
 
 
@@ -61,34 +65,53 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp long")
 
 
-def _bucket_links(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within ``bits`` of one another among distinct fingerprints of one bucket."""
+def pivot_links(fps: np.ndarray, bits: int = BITS, counts: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within ``bits`` of one another among distinct fingerprints, by a pivot table.
+
+    ``counts`` gets the pairs formed by the first coordinate, those that all coordinates let pass, and those linked.
+    """
     coords = np.bitwise_count(fps[:, None] ^ _PIVOTS[None, :]).astype(np.int8)
     order = np.argsort(coords[:, 0], kind="stable")
     fps, coords = fps[order], coords[order]
     stop = np.searchsorted(coords[:, 0], coords[:, 0] + bits, "right")
     width = np.maximum(stop - np.arange(len(fps)) - 1, 0)
-    left = np.repeat(np.arange(len(fps)), width)
-    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(width) - width, width)
-    for k in range(1, coords.shape[1]):
-        keep = np.abs(coords[left, k] - coords[right, k]) <= bits
-        left, right = left[keep], right[keep]
-    keep = np.bitwise_count(fps[left] ^ fps[right]) <= bits
-    return order[left[keep]], order[right[keep]]
-
-
-def links(distinct: DataFrame, bits: int = BITS, dense: int = DENSE) -> DataFrame:
+    lefts, rights, formed, passed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
+    ends = np.cumsum(width)
+    at = 0
+    while at < len(fps):  # in slices of bounded size
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + FORMED, "right")))
+        n = width[at:to]
+        left = np.repeat(np.arange(at, to), n)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        formed += len(left)
+        for k in range(1, coords.shape[1]):
+            keep = np.abs(coords[left, k] - coords[right, k]) <= bits
+            left, right = left[keep], right[keep]
+        passed += len(left)
+        keep = np.bitwise_count(fps[left] ^ fps[right]) <= bits
+        lefts.append(left[keep]), rights.append(right[keep])
+        at = to
+    left, right = np.concatenate(lefts), np.concatenate(rights)
+    if counts is not None:
+        for name, n in (("formed", formed), ("passed", passed), ("linked", len(left))):
+            counts[name] = counts.get(name, 0) + n
+    return order[left], order[right]
+
+
+def links(distinct: DataFrame, bits: int = BITS, dense: int = DENSE, width: int | None = None) -> DataFrame:
     """Links ``a, b`` between the ``node`` values of distinct fingerprints (``fp, node``): the pairs within ``bits`` (at most 2).
 
-    From a bucket of more than ``dense`` fingerprints come links of stars with the same components instead of all pairs.
+    ``width`` is the bits of a bucket's key (by the number of fingerprints if not given).  From a bucket of more than ``dense``
+    fingerprints come links of stars with the same components instead of all pairs.
     """
     if not 0 <= bits <= 2:
         raise ValueError("bits is 0, 1 or 2")
-    block = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    keys = F.array(*[(F.lit(n).cast("long") * F.lit(2**32) + block(i) * 65536 + block(j)) for n, (i, j) in enumerate(combinations(range(4), 2))])
+    if width is None:
+        width = min(21, max(0, (distinct.count() // BUCKET).bit_length()))
+    block = lambda at, size: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << size) - 1))
+    keys = F.array(*[F.lit(k << width) + F.pmod(F.xxhash64(block(*x)), F.lit(1 << width)) for k, x in enumerate(BLOCKS)])
     keyed = distinct.select("fp", "node", F.explode(keys).alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = keyed.join(sizes, "bucket")
+    crowded = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("bucket")
 
     def pairs(parts):
         left = None
@@ -109,21 +132,17 @@ def links(distinct: DataFrame, bits: int = BITS, dense: int = DENSE) -> DataFram
         cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         a, b = [], []
         for s, e in zip(cuts, cuts[1:]):
-            if e - s == 2:
-                if (int(fps[s]) ^ int(fps[s + 1])).bit_count() <= bits:
-                    a.append(nodes[s : s + 1]), b.append(nodes[s + 1 : s + 2])
-            else:
-                i, j = _bucket_links(fps[s:e], bits)
-                a.append(nodes[s:e][i]), b.append(nodes[s:e][j])
+            i, j = pivot_links(fps[s:e], bits)
+            a.append(nodes[s:e][i]), b.append(nodes[s:e][j])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     # distinct fingerprints of one bucket, dense at most: whole buckets meet in sorted runs of a task
-    thin = sized.where(F.col("n") <= dense).select("bucket", "fp", "node").repartition("bucket").sortWithinPartitions("bucket")
+    thin = keyed.join(crowded, "bucket", "left_anti").select("bucket", "fp", "node").repartition("bucket").sortWithinPartitions("bucket")
     found = thin.mapInArrow(pairs, "a long, b long")
     if bits == 0:
         return found
-    crowd = sized.where(F.col("n") > dense).select("fp", "node").distinct()
+    crowd = keyed.join(crowded, "bucket", "left_semi").select("fp", "node").distinct()
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(int(np.int64(np.uint64(1 << k).view(np.int64)))).cast("long")) for k in range(64)])
     met = crowd.select("fp", "node", F.posexplode(flips).alias("k", "value"))
     if bits == 1:  # a fingerprint and its neighbour meet in the neighbour itself

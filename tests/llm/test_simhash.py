@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import xxhash
 from corpus_cases import odd_rows, prose
 
 from chronozone.llm import simhash
+from chronozone.llm.common import shared_dir
 from chronozone.llm.components import components
 
 
@@ -59,12 +61,24 @@ def near(seed, n):
     return list(dict.fromkeys(out))
 
 
+def test_pivots_discard_and_lose_nothing():
+    """Without buckets: all pairs of a table, of which coordinates let few pass and none that is linked is lost."""
+    rng, fps = random.Random(8), near(9, 40)
+    fps = np.array(list(dict.fromkeys(fps + [rng.getrandbits(64) for _ in range(3000)])), np.uint64)
+    counts = {}
+    i, j = simhash.pivot_links(fps, 2, counts)
+    got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    want = {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(apart <= 2))) if a < b}
+    assert got == want and len(got) == len(i) == counts["linked"] > 50
+    every = len(fps) * (len(fps) - 1) // 2
+    assert counts["passed"] < 1.1 * counts["linked"] + every / 10_000 and counts["formed"] < every / 2
+
+
 def linked(spark, fps, **how):
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
     df = spark.createDataFrame(list(zip(signed, range(len(fps)))), "fp long, node long")
-    import tempfile
-
-    found = components(simhash.links(df, **how), "file://" + tempfile.mkdtemp())
+    found = components(simhash.links(df, **how), shared_dir(spark))
     return {i: i for i in range(len(fps))} | {r.node: r.label for r in found.collect()}
 
 
@@ -72,14 +86,15 @@ def test_links_by_pivots_and_by_neighbours(spark):
     fps = near(5, 25)
     want = brute_groups(list(enumerate(fps)))
     assert linked(spark, fps) == want
-    assert linked(spark, fps, dense=4) == want
+    for how in ({"dense": 4}, {"width": 0}, {"width": 21}):
+        assert linked(spark, fps, **how) == want
 
 
 def test_one_bit_and_no_bits(spark):
     fps = near(6, 12)
     for bits in (0, 1):
         pairs = {(min(a, b), max(a, b)) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= bits}
-        want = components(spark.createDataFrame(list(pairs) or [(0, 0)], "a long, b long"), "file:///tmp/cz-test-" + str(random.random()))
+        want = components(spark.createDataFrame(list(pairs) or [(0, 0)], "a long, b long"), shared_dir(spark))
         assert linked(spark, fps, bits=bits, dense=3) == {i: i for i in range(len(fps))} | {r.node: r.label for r in want.collect()}
 
 

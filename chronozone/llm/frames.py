@@ -33,6 +33,8 @@ from .tokens import encoder
 
 SEEK_MAGIC, INDEX_MAGIC, FOOT_MAGIC, LEVEL = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 3
 END_ID = 2
+#: Bytes of ids that a reader holds at once; a longer document is read alone.
+READ = 4 << 20
 _NULL = -(2**63)
 MANIFEST = "file string, part int, first long, n_docs long, n_tokens long, bytes long"
 
@@ -110,6 +112,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
     """Encode ``doc_id, text`` into token files below ``folder``; the manifest, one row of each file, stored there as well.
 
     Null text is empty, so it has the end id alone.  Documents without an id come first; rows with equal ids are ordered by text.
+    Repeated rows each get a frame, texts may be of any length, and other columns are ignored, whatever their names.
     """
 
     def run(batches):
@@ -146,8 +149,9 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                 with fs.open_input_file(f"{path}/{name}") as source:
                     reader = FrameReader(source)
                     starts = base + np.concatenate(([0], np.cumsum(reader.sizes())))
-                    for at in range(0, len(reader.ids), 256):
-                        own = range(at, min(at + 256, len(reader.ids)))
+                    slot = np.cumsum(reader.table[:, 1].astype(np.int64)) // READ  # documents that are read at once
+                    cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), len(reader.ids)]
+                    for own in map(range, cuts, cuts[1:]):
                         yield pa.RecordBatch.from_arrays([pa.array([reader.ids[k] for k in own], pa.int64()), pa.array(starts[own.start : own.stop]), pa.array([reader.read(k) for k in own], pa.binary())], schema=schema)
 
     return based.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, ids binary")

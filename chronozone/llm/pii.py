@@ -35,13 +35,13 @@ _WORDED = re.compile(r"[A-Za-z0-9-]++(?: ?[\[({] ?dot ?[\])}] ?[A-Za-z0-9-]++)++
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _LOGIN = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]{1,256}:[^\s/@:]{1,256}@[A-Za-z0-9.-]+")
 _IP6 = re.compile(r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}")
-_VALUE = re.compile(r"""(?: ?(?:is|no\.?|nr\.?|number|id|name))?\s{0,2}[:=#]\s{0,2}["']?([A-Za-z0-9][A-Za-z0-9_.\-/+]{3,127})""", re.I)
+_VALUE = re.compile(r"""(?: ?(?:is|no\.?|nr\.?|number|id|name))?\s{0,2}[:=#]\s{0,2}["']?([A-Za-z0-9][A-Za-z0-9_.\-/+]{3,}+)""", re.I)
 _NUMBER = re.compile(r"(?: ?(?:is|no\.?|nr\.?|number|id))?\s{0,2}[:=#]?\s{0,2}([0-9](?:[ -]?[0-9]){5,19})(?![0-9])", re.I)
 _SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _STREET = re.compile(r"(?:[A-ZÄÖÜÉÈ][\w'-]{1,30} ){1,3}\Z")
 _HOUSE = re.compile(r"(?<![\w.])[0-9]{1,5}[a-z]? \Z")
 _ENDWORD = re.compile(r"(?!\w)\.?")
-_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,251}|sk-[A-Za-z0-9_-]{20,200}|xox[abprs]-[A-Za-z0-9-]{10,200}")
+_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+")
 
 _CUES = {
     "@": "at", "+": "plus", "[at]": "words", "(at)": "words", "{at}": "words", "[ at ]": "words", "( at )": "words",
@@ -185,7 +185,11 @@ def joined(found: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans``: for each row an array of ``kind, start, end``; empty for null or empty text.  Other columns are ignored."""
+    """``doc_id, spans``: for each row an array of ``kind, start, end``; empty for null or empty text.
+
+    Each row gets a row, repeated rows and null ids too; texts may be of any length (they are taken in slices of bounded size, a
+    longer one alone).  Other columns are ignored, whatever their names.
+    """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batch):
@@ -208,7 +212,7 @@ def redacted(text: str | None) -> str | None:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op2: counts and digest of base spans, and all spans, of every document."""
+    """op2: counts and digest of base spans, and all spans, of every document; odd rows as in ``find``."""
 
     def run(batch):
         counts, digests, every = {k: [] for k in BASE}, [], []

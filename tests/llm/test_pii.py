@@ -64,6 +64,12 @@ def test_long_runs_take_linear_time(text):
     pii.spans(text)
 
 
+def test_long_secrets_are_found_whole():
+    value = "eyJhbGciOi1" + "Zx9-_" * 300
+    text = f'token: "{value}" and ghp_{"a1B2" * 80} end'
+    assert [text[s:e] for k, s, e in pii.spans(text) if k == "secret"] == [value, "ghp_" + "a1B2" * 80]
+
+
 def test_redaction():
     assert pii.redacted("a@b.c and 1.2.3.4") == "[email] and [ip]"
 

@@ -278,15 +278,16 @@ def judged(docs: DataFrame, folder: str | None = None, cutoff: float = CUTOFF) -
 def keep_good(docs: DataFrame, folder: str | None = None, cutoff: float = CUTOFF) -> DataFrame:
     """``docs`` without the rows that the rules reject.
 
-    Each row is judged by its own text, whatever its id, null too.  Rows that pass the base rules are stored once with their shares and
+    Each row is judged by its own text, whatever its id, null too.  Rows are stored once with their shares and
     read again when the estimates are there, so texts don't move in a shuffle (but where there are over ``BROADCAST_GROUPS`` pairs
     of language and source).  Columns of ``docs`` may have any names.
     """
     folder, own = folder or shared_dir(docs.sparkSession), docs.columns
     staged = docs.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in own]).alias("__whole"))
     shares = [f"{k}_{a}" for k in "rw" for a in AXES]
-    rows = _shares(statistics(staged)).where("not base_failed").select("lang", "source", "__whole", *shares)
-    good = _judged(stored(rows, f"{folder}/staged"), folder)
+    # the filter comes after the table is stored: pushed down, it would write out the statistics over and over
+    rows = _shares(statistics(staged)).select("lang", "source", "__whole", "base_failed", *shares)
+    good = _judged(stored(rows, f"{folder}/staged").where("not base_failed").drop("base_failed"), folder)
     return good.where(F.col("d2") <= cutoff).select("__whole.*")
 
 
